@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from syndica.functions.bind import let
+
 # Zone of the civil times that listings print, and their formats.
 SITE_ZONE = "Asia/Shanghai"
 PINNED_PREFIX = "置顶主题："
 _PINNED = r"(?U)^置顶主题：(\d{4})-(\d{2})-(\d{2}) (\d{2}):(\d{2}):(\d{2})$"
-DATE_TEXT = r"(\d{4})-(\d{1,2})-(\d{1,2})"
+DATE_TEXT = r"\d{4}-\d{1,2}-\d{1,2}"
 
 # Month and zone names of RFC 2822 dates; zone offsets are in hours.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -22,111 +24,99 @@ ZONES = {
 _MAX_EPOCH = 253402300799
 
 
-def _int(text: Column) -> Column:
-    return text.try_cast("int")
-
-
-def _stamp(y, mo, d, h, mi, s, zone: str) -> Column:
-    """Instant of a civil time; NULL when any part is missing or out of range."""
-    return F.try_make_timestamp(y, mo, d, h, mi, s, F.lit(zone))
-
-
-def _midnight(text: Column, pattern: str, zone: str) -> Column:
-    part = [_int(F.regexp_extract(text, pattern, i)) for i in (1, 2, 3)]
-    zero = F.lit(0)
-    return _stamp(*part, zero, zero, zero, zone)
+def _int(sql: str) -> str:
+    return f"try_cast({sql} AS int)"
 
 
 def epoch_ts(stamp: Column, title: Column, zone: str = SITE_ZONE) -> Column:
     """Leading digits as epoch seconds; only without any, the pinned civil time in ``title``."""
-    digits = F.regexp_extract(F.coalesce(stamp, F.lit("")), r"^(\d+)", 1)
-    seconds = digits.try_cast("bigint")
-    title = F.coalesce(title, F.lit(""))
-    pinned = _stamp(*[_int(F.regexp_extract(title, _PINNED, i)) for i in range(1, 7)], zone)
-    return F.when(
-        digits != "", F.when(seconds <= _MAX_EPOCH, F.timestamp_seconds(seconds))
-    ).otherwise(pinned)
-
-
-def civil_date_utc(text: Column, zone: str = SITE_ZONE) -> Column:
-    """``Y-m-d`` (padding optional) as midnight of the site zone."""
-    return _midnight(text, f"^{DATE_TEXT}$", zone)
+    civil = ", ".join(_int(f"t.part[{i}]") for i in range(6))
+    return let(
+        {"stamp": stamp, "title": title},
+        [("t", {
+            "digits": r"regexp_extract(coalesce(v.stamp, ''), r'^(\d+)', 1)",
+            "part": f"""if(v.title RLIKE r'{_PINNED}', split(regexp_replace(v.title, r'{_PINNED}',
+                '$1\\n$2\\n$3\\n$4\\n$5\\n$6'), '\\n'), NULL)""",
+        })],
+        f"""CASE WHEN t.digits = '' THEN try_make_timestamp({civil}, '{zone}')
+            WHEN try_cast(t.digits AS bigint) <= {_MAX_EPOCH}
+            THEN timestamp_seconds(try_cast(t.digits AS bigint)) END""",
+    )
 
 
 def embedded_date(text: Column, zone: str = SITE_ZONE) -> Column:
     """First date inside a text as midnight of the site zone; an invalid one gives NULL."""
-    return _midnight(text, DATE_TEXT, zone)
-
-
-def first_embedded_date(*texts: Column, zone: str = SITE_ZONE) -> Column:
-    return F.coalesce(*[embedded_date(t, zone) for t in texts])
+    day = ", ".join(_int(f"t.part[{i}]") for i in range(3))
+    return let(
+        {"text": text},
+        [("t", {"part": f"split(regexp_substr(v.text, r'{DATE_TEXT}'), '-')"})],
+        f"try_make_timestamp({day}, 0, 0, 0, '{zone}')",
+    )
 
 
 def is_plain_date(text: Column) -> Column:
     return text.rlike(f"^{DATE_TEXT}$")
 
 
-def _offset_seconds(text: Column) -> Column:
-    """Seconds east of UTC of ``+hhmm``, ``+hh:mm`` or ``+hh``; 0 when absent."""
-    pattern = r"^([+\-])(\d{1,2}):?(\d{2})?:?(\d{2})?$"
-    part = [F.coalesce(_int(F.regexp_extract(text, pattern, i)), F.lit(0)) for i in (2, 3, 4)]
-    size = part[0] * 3600 + part[1] * 60 + part[2]
-    return F.when(F.regexp_extract(text, pattern, 1) == "-", -size).otherwise(size)
+def civil_date_utc(text: Column, zone: str = SITE_ZONE) -> Column:
+    """``Y-m-d`` (padding optional) as midnight of the site zone."""
+    return F.when(is_plain_date(text), embedded_date(text, zone))
 
 
-def _minus_seconds(ts: Column, seconds: Column) -> Column:
-    zero = F.lit(0)
-    return ts - F.make_dt_interval(zero, zero, zero, seconds)
+def first_embedded_date(*texts: Column, zone: str = SITE_ZONE) -> Column:
+    return F.coalesce(*[embedded_date(t, zone) for t in texts])
 
 
-def _rfc2822(text: Column) -> Column:
-    day_first = r"(?i)^(?:[a-z]+,\s*|(?:mon|tue|wed|thu|fri|sat|sun)\s+)?(\d{1,2})[\s\-]+([a-z]{3,9})[\s\-]+(\d{2,4})"
-    month_first = r"(?i)^(?:[a-z]+,\s*|(?:mon|tue|wed|thu|fri|sat|sun)\s+)?([a-z]{3,9})\s+(\d{1,2}),?\s+(\d{2,4})"
-    clock = r"\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?:\s+(.*))?$"
-    by_day = text.rlike(day_first + clock)
+# Shapes of feed dates; each is cut into lines of day, month, year, hour, minute, second, zone.
+_WEEKDAY = r"(?i)^(?:[a-z]+, ?|(?:mon|tue|wed|thu|fri|sat|sun) )?"
+_CLOCK = r" (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?: (\S+).*)?$"
+_SHAPES = [
+    (_WEEKDAY + r"(\d{1,2})[ \-]([a-z]{3,9})[ \-](\d{2,4})" + _CLOCK, (1, 2, 3, 4, 5, 6, 7)),
+    (_WEEKDAY + r"([a-z]{3,9}) (\d{1,2}),? (\d{2,4})" + _CLOCK, (2, 1, 3, 4, 5, 6, 7)),
+    (r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2}(?:[.,]\d{1,6})?)\d*)?)?"
+     r"(Z|[+\-]\d{2}:?\d{2}(?::?\d{2})?)?)?$", (3, 2, 1, 4, 5, 6, 7)),
+]
 
-    def part(i: int, swapped: int | None = None) -> Column:
-        other = F.regexp_extract(text, month_first + clock, swapped or i)
-        return F.when(by_day, F.regexp_extract(text, day_first + clock, i)).otherwise(other)
 
-    month_name = F.lower(F.substring(part(2, 1), 1, 3))
-    month = F.nullif(
-        F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month_name).cast("int"), F.lit(0)
-    )
-    raw_year = _int(part(3))
-    year = (
-        F.when(raw_year >= 100, raw_year).when(raw_year > 68, raw_year + 1900)
-        .otherwise(raw_year + 2000)
-    )
-    second = F.coalesce(_int(part(6)), F.lit(0))
-    zone = F.upper(F.trim(part(7)))
-    hours = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
-    offset = F.coalesce(F.try_element_at(hours, zone) * 3600, _offset_seconds(zone))
-    return _minus_seconds(
-        _stamp(year, month, _int(part(1, 2)), _int(part(4)), _int(part(5)), second, "UTC"), offset
+def feed_ts(raw: Column) -> Column:
+    """Time of a feed entry: RFC 2822 (weekday ignored) or ISO 8601; zoneless means UTC."""
+    cut = "\n".join(
+        f"WHEN t.text RLIKE r'{pattern}' THEN split(regexp_replace(t.text, r'{pattern}', "
+        f"'{lines}'), '\\n')"
+        for pattern, groups in _SHAPES
+        for lines in [r"\n".join(f"${g}" for g in groups)]
     )
-
-
-def _iso8601(text: Column) -> Column:
-    pattern = (
-        r"^(\d{4})-?(\d{2})-?(\d{2})"
-        r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2}(?:[.,]\d{1,6})?)\d*)?)?"
-        r"(Z|[+\-]\d{2}:?\d{2}(?::?\d{2})?)?)?$"
+    months = ", ".join(f"'{m}'" for m in MONTHS)
+    zones = ", ".join(f"'{z}', {hours}" for z, hours in ZONES.items())
+    shift = r"^([+\-])(\d{1,2}):?(\d{2})?:?(\d{2})?$"
+    units = " + ".join(
+        f"coalesce(try_cast(regexp_extract(n.zone, r'{shift}', {i}) AS int), 0) * {seconds}"
+        for i, seconds in ((2, 3600), (3, 60), (4, 1))
     )
-    found = [F.regexp_extract(text, pattern, i) for i in range(1, 8)]
-    date = [_int(p) for p in found[:3]]
-    clock = [F.coalesce(_int(p), F.lit(0)) for p in found[3:5]]
-    second = F.coalesce(
-        F.replace(found[5], F.lit(","), F.lit(".")).try_cast("decimal(8,6)"),
-        F.lit(0).cast("decimal(8,6)"),
+    return let(
+        {"raw": raw},
+        [
+            ("t", {"text": r"trim(regexp_replace(v.raw, r'\s+', ' '))"}),
+            ("p", {"part": f"CASE {cut} END"}),
+            ("n", {
+                "year": _int("p.part[2]"),
+                "month": f"""coalesce({_int("p.part[1]")},
+                    nullif(array_position(array({months}), lower(left(p.part[1], 3))), 0))""",
+                "day": _int("p.part[0]"),
+                "hour": f"coalesce({_int('p.part[3]')}, 0)",
+                "minute": f"coalesce({_int('p.part[4]')}, 0)",
+                "second": "coalesce(try_cast(replace(p.part[5], ',', '.') AS decimal(8, 6)), 0)",
+                "zone": "upper(coalesce(p.part[6], ''))",
+            }),
+            ("z", {"shift": f"""coalesce(try_element_at(map({zones}), n.zone) * 3600,
+                ({units}) * if(startswith(n.zone, '-'), -1, 1))"""}),
+        ],
+        """try_make_timestamp(
+                CASE WHEN n.year >= 100 THEN n.year WHEN n.year > 68 THEN n.year + 1900
+                     ELSE n.year + 2000 END,
+                cast(n.month AS int), n.day, n.hour, n.minute, n.second, 'UTC')
+            - make_dt_interval(0, 0, 0, z.shift)""",
     )
-    return _minus_seconds(_stamp(*date, *clock, second, "UTC"), _offset_seconds(found[6]))
-
-
-def feed_ts(raw: Column) -> Column:
-    """Time of a feed entry: RFC 2822 (weekday ignored) or ISO 8601; zoneless means UTC."""
-    text = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    return F.coalesce(_rfc2822(text), _iso8601(text))
 
 
 def drop_sentinel_year(ts: Column, year: int = 1970) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from syndica.functions.bind import let
+
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _SPLIT = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -99,62 +101,50 @@ def host_file_name(url: Column) -> Column:
     return F.replace(url_authority(url), F.lit(":"), F.lit("_"))
 
 
-def _remove_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments; paths without any skip the fold."""
-    segments = F.split(path, "/")
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, seg: F.when(
-            seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        ).when(seg == ".", acc).otherwise(F.concat(acc, F.array(seg))),
-    )
-    closed = F.when(
-        F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))
-    ).otherwise(kept)
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(closed, "/")).otherwise(path)
-
-
-def _unsplit(scheme: Column, authority: Column, path: Column, query: Column,
-             fragment: Column) -> Column:
-    rooted = F.when(
-        (authority != "") & (path != "") & ~F.startswith(path, F.lit("/")),
-        F.concat(F.lit("/"), path),
-    ).otherwise(path)
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(authority != "", F.concat(F.lit("//"), authority)).otherwise(""),
-        rooted,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
+# The parts scheme, authority, path, query and fragment, one per line; line breaks are gone
+# from the text before.
+_PARTS = r"""split(regexp_replace(
+    regexp_replace({url}, r'^[\x00-\x20]+|[\t\r\n]', ''),
+    r'(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$',
+    '$1\n$2\n$3\n$4\n$5'), '\n')"""
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` as found on the page ``base`` (RFC 3986 reference join)."""
-    b_scheme, h_scheme = url_scheme(base), url_scheme(href)
-    scheme = F.when(h_scheme != "", h_scheme).otherwise(b_scheme)
-    authority, path = url_authority(href), url_path(href)
-    query, fragment = url_query(href), url_fragment(href)
-    b_authority, b_path = url_authority(base), url_path(base)
-
-    folder = F.coalesce(F.nullif(F.regexp_replace(b_path, "[^/]*$", ""), F.lit("")), F.lit("/"))
-    merged = F.when(F.startswith(path, F.lit("/")), path).otherwise(
-        F.regexp_replace(F.concat(folder, path), "/{2,}", "/")
-    )
-    joined = F.coalesce(F.nullif(_remove_dots(merged), F.lit("")), F.lit("/"))
-    foreign = (scheme != b_scheme) | ~scheme.isin("", *RELATIVE_SCHEMES)
-    return (
-        F.when(base == "", href)
-        .when(href == "", base)
-        .when(foreign, href)
-        .when(authority != "", _unsplit(scheme, authority, path, query, fragment))
-        .when(
-            path == "",
-            _unsplit(
-                scheme, b_authority, b_path,
-                F.when(query != "", query).otherwise(url_query(base)), fragment,
-            ),
-        )
-        .otherwise(_unsplit(scheme, b_authority, joined, query, fragment))
+    relative = ", ".join(f"'{s}'" for s in ["", *RELATIVE_SCHEMES])
+    return let(
+        {"base": base, "href": href},
+        [
+            ("u", {"b": _PARTS.format(url="v.base"), "h": _PARTS.format(url="v.href")}),
+            ("s", {
+                "base": "lower(u.b[0])",
+                "scheme": "lower(if(u.h[0] <> '', u.h[0], u.b[0]))",
+                # a relative path continues the folder of the base path
+                "path": """if(startswith(u.h[2], '/'), u.h[2], regexp_replace(concat(
+                    coalesce(nullif(regexp_replace(u.b[2], '[^/]*$', ''), ''), '/'), u.h[2]),
+                    '/{2,}', '/'))""",
+            }),
+            # dot segments are folded away where there are any
+            ("d", {"path": r"""if(s.path RLIKE r'(^|/)\.\.?(/|$)', array_join(concat(
+                aggregate(split(s.path, '/'), cast(array() AS array<string>), (kept, part) ->
+                    CASE WHEN part = '..' THEN slice(kept, 1, greatest(size(kept) - 1, 0))
+                         WHEN part = '.' THEN kept ELSE concat(kept, array(part)) END),
+                if(s.path RLIKE r'(^|/)\.\.?$', array(''), cast(array() AS array<string>))),
+                '/'), s.path)"""}),
+            ("r", {
+                "authority": "if(u.h[1] <> '', u.h[1], u.b[1])",
+                "path": """CASE WHEN u.h[1] <> '' THEN u.h[2] WHEN u.h[2] = '' THEN u.b[2]
+                    ELSE coalesce(nullif(d.path, ''), '/') END""",
+                "query": "if(u.h[1] = '' AND u.h[2] = '' AND u.h[3] = '', u.b[3], u.h[3])",
+            }),
+        ],
+        f"""CASE WHEN v.base = '' THEN v.href WHEN v.href = '' THEN v.base
+            WHEN s.scheme <> s.base OR s.scheme NOT IN ({relative}) THEN v.href
+            ELSE concat(
+                if(s.scheme <> '', concat(s.scheme, ':'), ''),
+                if(r.authority <> '', concat('//', r.authority), ''),
+                if(r.authority <> '' AND r.path <> '' AND NOT startswith(r.path, '/'), '/', ''),
+                r.path,
+                if(r.query <> '', concat('?', r.query), ''),
+                if(u.h[4] <> '', concat('#', u.h[4]), '')) END""",
     )

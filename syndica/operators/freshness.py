@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from syndica.functions.times import max_age, plus_seconds
 from syndica.operators.ranges import running_max
-from syndica.session import join_small
 
 # Cache lifetime and failure back-off, in seconds.
 TTL_S = 600
@@ -102,8 +101,8 @@ def aggregate_state(members: DataFrame, child_state: DataFrame) -> DataFrame:
     ``child_state(feed_key, available, is_stale)``; an aggregate is unavailable only when
     none of its children is available, and stale when any available child is.
     """
-    joined = join_small(
-        members, child_state.withColumnRenamed("feed_key", "child_key"), "child_key", "left"
+    joined = members.join(
+        child_state.withColumnRenamed("feed_key", "child_key"), "child_key", "left"
     )
     up = F.coalesce(F.col("available"), F.lit(False))
     return joined.groupBy("aggregate_key").agg(

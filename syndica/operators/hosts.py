@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from syndica.functions.urls import host_file_name, url_host
 from syndica.operators.items import keep_last
 from syndica.operators.ranges import ordinals, previous
-from syndica.session import join_small
+from syndica.session import join_measured
 
 # Lowest request spacing of one host, in seconds.
 MIN_INTERVAL_S = 10
@@ -28,7 +28,7 @@ def host_groups(sources: DataFrame, url: str = "source_url") -> DataFrame:
 
     Rows, not one list per host: a host may own any share of the sources.
     """
-    return join_small(with_host(sources, url), sources_per_host(sources, url), "host")
+    return with_host(sources, url).join(sources_per_host(sources, url), "host")
 
 
 def is_critical(key: Column, critical_keys: list[str]) -> Column:
@@ -89,4 +89,4 @@ def last_page_per_host(pages: DataFrame, order: str = "page_id") -> DataFrame:
         host_file_name(F.col("url")).alias("host"), F.col(order).alias("_order"), "page_id"
     )
     winners = keep_last(narrow, ["host"], ["_order", "page_id"]).select("host", "page_id")
-    return join_small(pages, winners, "page_id")
+    return join_measured(pages, winners, "page_id")

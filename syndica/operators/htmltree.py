@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from syndica.functions.strings import contains_all, trim_space
+from syndica.session import spread
 
 # Elements without content, attributes holding word lists, and elements whose
 # strings are not part of the page text.
@@ -243,7 +244,7 @@ def html_nodes(
     text_tags = None if text_tags is None else frozenset(text_tags)
     kept_attrs = None if kept_attrs is None else frozenset(kept_attrs)
     per_page = [c for c in (tags_col, text_tags_col) if c]
-    source = pages.select(*keep, html_col, *per_page)
+    source = spread(pages.select(*keep, html_col, *per_page))
 
     def widen(base, batch, column, i):
         if column is None or base is None:

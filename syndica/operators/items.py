@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from syndica.schemas import ITEM_COLUMNS
-from syndica.session import join_small, materialize
+from syndica.session import materialize
 
 LISTING_ORDER = ["page_seq", "pos"]
 
@@ -84,8 +84,8 @@ def merge_feeds(items: DataFrame, members: DataFrame, max_items: int | None = No
     ``members(aggregate_key, child_key, child_ord)``. The result's ``feed_key`` is the
     aggregate; ``child_ord, page_seq, pos`` stay as the merge order for ties.
     """
-    joined = join_small(
-        items.withColumnRenamed("feed_key", "child_key"), members, "child_key"
+    joined = items.withColumnRenamed("feed_key", "child_key").join(
+        members, "child_key"
     ).drop("child_key").withColumnRenamed("aggregate_key", "feed_key")
     ties = ["child_ord", *LISTING_ORDER]
     merged = keep_first(joined, ["feed_key", "guid"], ties)
@@ -152,7 +152,7 @@ def page_cutoff(items: DataFrame, empty_pages: int, max_pages: int | None = None
         .groupBy("feed_key")
         .agg(F.min("page_seq").alias("_last_page"))
     )
-    return join_small(firsts, last, "feed_key").filter(
+    return firsts.join(last, "feed_key").filter(
         F.col("page_seq") <= F.col("_last_page")
     ).drop("_last_page")
 
@@ -164,7 +164,7 @@ def left_biased(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 
 def serve_aliases(feeds: DataFrame, routes: DataFrame) -> DataFrame:
     """One row per (route, feed): a feed may be served under several routes."""
-    return join_small(feeds, routes, "feed_key")
+    return feeds.join(routes, "feed_key")
 
 
 def feed_counts(items: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from syndica.session import join_small, materialize
+from syndica.session import materialize
 
 RANGE, ROW = "_range", "_row"
 
@@ -37,7 +37,7 @@ def _attach(rows: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     condition = rows[RANGE] == right[f"_b{RANGE}"]
     for k in keys:
         condition = condition & rows[k].eqNullSafe(right[f"_b_{k}"])
-    return join_small(rows, right, condition)
+    return rows.join(right, condition)
 
 
 def _blocks(ranged: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:

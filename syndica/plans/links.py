@@ -112,7 +112,7 @@ def extract_links(pages: DataFrame, max_items: int | None = 100, prefix: str = "
     keep = (
         (F.col("role") == "link") & (href != "")
         & (F.length(title) >= MIN_TITLE) & ~is_plain_date(title)
-        & ((F.col("link_pattern") == "") | url_path(href).rlike(F.col("link_pattern")))
+        & ((F.col("link_pattern") == "") | F.rlike(url_path(href), F.col("link_pattern")))
         & ((parent_rule == "") | F.col("in_parent"))
     )
     link = resolve_url(F.col("url"), href)

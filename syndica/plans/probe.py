@@ -9,7 +9,6 @@ from syndica.functions.strings import collapse_space, strip_trailing_punctuation
 from syndica.functions.urls import resolve_url, url_path
 from syndica.operators.hosts import last_page_per_host
 from syndica.operators.htmltree import attr, html_nodes, raw_attr
-from syndica.session import join_small
 from syndica.sources.pages import decode_body
 
 # Limits of a probe, and the site generators it knows, in order.
@@ -104,7 +103,7 @@ def probe_pages(responses: DataFrame) -> DataFrame:
             F.col("html").isNotNull(), site_generator(F.col("html"), url_path(F.col("url")))
         ).otherwise("unknown").alias("generator"),
     )
-    return join_small(narrow, feeds, "input_ord", "left").withColumn(
+    return narrow.join(feeds, "input_ord", "left").withColumn(
         "feeds", F.coalesce("feeds", F.array().cast("array<string>"))
     )
 

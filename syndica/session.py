@@ -1,4 +1,4 @@
-"""Session settings, shared scratch tables and size-checked joins."""
+"""Session settings, shared scratch tables and joins of measured size."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest estimated size of a side that is broadcast.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Largest file size of a table that is broadcast.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def build_session(app: str = "syndica", master: str | None = None, **conf: str) -> SparkSession:
@@ -75,21 +75,37 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (no job is run); None when unknown."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except AttributeError:
+    """Catalyst's size estimate of ``df`` (no job is run); None when unknown.
+
+    For a table that was just written it is the size of its files.
+    """
+    if not hasattr(df, "_jdf"):
         return None
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner",
-               limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Join that broadcasts ``right`` only while its estimated size stays under ``limit``.
+def join_measured(left: DataFrame, right: DataFrame, on, how: str = "inner",
+                  limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join of page bodies with a side that should be small, without trusting that it is.
 
-    Above the limit Spark plans a shuffled join, whose skewed keys AQE splits.
+    ``right`` is written first, so its size is known and not guessed; only up to ``limit`` is
+    it broadcast. Above, Spark plans a shuffled join, whose skewed keys AQE splits. Narrow
+    joins need none of this: there Spark's own threshold and AQE decide.
     """
-    size = estimated_bytes(right)
+    written = materialize(right, "joined")
+    size = estimated_bytes(written)
     if size is not None and size <= limit:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+        written = F.broadcast(written)
+    return left.join(written, on, how)
+
+
+def spread(df: DataFrame, bytes_per_core: int = 4 * 1024 * 1024) -> DataFrame:
+    """Repartition a small input that would not reach every core before a slow step.
+
+    Files with few row groups, and shuffles that AQE merges by size, can leave costly parsing
+    to one task. Inputs of at least ``bytes_per_core`` per core are split well already and
+    are left alone.
+    """
+    size = estimated_bytes(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size is not None and size < cores * bytes_per_core else df

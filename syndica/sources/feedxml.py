@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from syndica.functions.strings import trim_space
+from syndica.session import spread
 
 # Record elements and the children that hold metadata.
 RECORDS = frozenset(("item", "entry"))
@@ -65,7 +66,7 @@ def feed_records(docs: DataFrame, keep: Iterable[str] = ("page_id",), body_col:
                  ) -> DataFrame:
     """One row per item or entry, in document order, with its metadata children."""
     keep = list(keep)
-    source = docs.select(*keep, body_col)
+    source = spread(docs.select(*keep, body_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -93,10 +93,9 @@ def html_nodes(spark, sf_dir):
 
 
 @query("html_nodes_sql", """
-SELECT page_id, count(*) AS n_li,
-       max(generate_subscripts) AS last_li
-FROM (SELECT page_id, generate_subscripts(regexp_extract_all(html, '<li[ >]'), 1) FROM pages)
-GROUP BY 1
+SELECT page_id, len(regexp_extract_all(html, '<li[ >]')) AS n_li,
+       len(regexp_extract_all(html, '<li[ >]')) AS last_li
+FROM pages
 """)
 def html_nodes_sql(spark, sf_dir):
     htmltree.register_html_nodes(spark)
@@ -275,14 +274,14 @@ WITH cards AS (
            CAST(DATE '2020-01-01' + CAST(p_partkey % 1000 AS INTEGER) AS TIMESTAMP) - INTERVAL 8 HOUR AS card,
            p_partkey % 5 AS kind FROM part),
   chosen AS (
-    SELECT pg, 2 * k + 1 AS ord, title, link, card AS at
+    SELECT pg, 2 * k + 1 AS ord, title, link, card AS pub
     FROM cards WHERE length(title) >= 4
     UNION ALL
     SELECT pg, 2 * k, 'navigation', 'https://g.example.com/album/9' || k, NULL
     FROM cards WHERE pg % 2 = 1 AND k % 4 = 0),
   kept AS (SELECT *, row_number() OVER (PARTITION BY pg ORDER BY ord) AS rank FROM chosen)
 SELECT CAST(pg + 1 AS INTEGER) AS page_seq, 'gallery:' || link AS guid, title, link,
-       CAST(NULL AS VARCHAR) AS author, strftime(at, '%Y-%m-%d %H:%M:%S') AS published_at
+       CAST(NULL AS VARCHAR) AS author, strftime(pub, '%Y-%m-%d %H:%M:%S') AS published_at
 FROM kept WHERE rank <= 35
 """
 
@@ -561,13 +560,13 @@ def page_cutoff_k2(spark, sf_dir):
 _MERGED = """
 WITH m AS (SELECT DISTINCT 'all' AS agg, event_type AS child FROM events
            UNION SELECT DISTINCT 'short', event_type FROM events WHERE length(event_type) <= 5),
-     i AS (SELECT agg, event_type, user_id, event_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS at
+     i AS (SELECT agg, event_type, user_id, event_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS pub
            FROM events JOIN m ON m.child = event_type),
      f AS (SELECT *, row_number() OVER (PARTITION BY agg, user_id ORDER BY event_type, event_id) AS rn FROM i),
-     r AS (SELECT *, row_number() OVER (PARTITION BY agg ORDER BY at DESC NULLS LAST, event_type, event_id) AS rank
+     r AS (SELECT *, row_number() OVER (PARTITION BY agg ORDER BY pub DESC NULLS LAST, event_type, event_id) AS rank
            FROM f WHERE rn = 1)
 SELECT agg AS feed_key, 'u' || user_id AS guid, 'event ' || event_id AS title, rank,
-       strftime(at, '%Y-%m-%d %H:%M:%S.%f') AS published_at
+       strftime(pub, '%Y-%m-%d %H:%M:%S.%f') AS published_at
 FROM r WHERE rank <= {limit}
 """
 
@@ -918,9 +917,9 @@ def cache_by_host(spark, sf_dir):
 
 # --- freshness -----------------------------------------------------------------------------
 
-_RULE = """CASE WHEN epoch_us({now}) < epoch_us(ok_at) + {ttl} * 1000000 THEN 'fresh'
+_RULE = """CASE WHEN epoch_us({now}) < epoch_us(ok_at) + {ttl} * 1000000::BIGINT THEN 'fresh'
      WHEN fail_at IS NOT NULL AND (ok_at IS NULL OR fail_at > ok_at)
-       AND epoch_us({now}) < epoch_us(fail_at) + {retry} * 1000000
+       AND epoch_us({now}) < epoch_us(fail_at) + {retry} * 1000000::BIGINT
      THEN CASE WHEN ok_at IS NULL THEN 'unavailable' ELSE 'stale' END ELSE 'due' END"""
 _NOW = "2024-01-20 12:00:00"
 

@@ -35,7 +35,7 @@ def listing_a_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         """concat(
           '<tr class="tac tr3 t_one"><td>.</td><td class="tal"><h3><a id="t', o_orderkey,
           '" href="', if(o_orderkey % 6 = 0, '/', ''), 'htm_data/2608/',
-          if(o_orderkey % 9 = 0, 7, 16), '/', o_orderkey, '.html"> ',
+          if(o_orderkey % 9 = 0, '7', '16'), '/', o_orderkey, '.html"> ',
           if(o_orderkey % 17 = 0, '<!--none-->', concat('<b>', o_orderpriority, '</b> &amp; ',
             o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' [36P]' WHEN 2 THEN ' ［10p + 1V］'
               WHEN 1 THEN ' [22P,3V-214MB]' ELSE '' END)),
@@ -189,7 +189,7 @@ def atom_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").selectExpr(
         "event_id AS k", "event_id div 100 AS pg",
-        """concat(if(event_id % 100 = 0, '', ','), '{"id":', if(event_id % 2 = 0, event_id, concat('"', event_id, '"')),
+        """concat(if(event_id % 100 = 0, '', ','), '{"id":', if(event_id % 2 = 0, string(event_id), concat('"', event_id, '"')),
           ',"title":"', if(event_id % 23 = 0, ' ', event_type), '","created_at":',
           CASE WHEN event_id % 13 = 0 THEN '"1970-01-01T00:00:00Z"' WHEN event_id % 3 = 0 THEN 'null'
             ELSE concat('"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), '"') END,
