@@ -34,7 +34,7 @@ def empty_to_null(col: Column) -> Column:
 
 def first_non_empty(*cols: Column) -> Column:
     """First non-empty text of a fallback chain, else the empty string."""
-    return F.coalesce(*[empty_to_null(c) for c in cols], F.lit(""))
+    return F.coalesce(F.get(F.filter(F.array(*cols), lambda c: c != ""), F.lit(0)), F.lit(""))
 
 
 def is_blank(col: Column) -> Column:
@@ -69,11 +69,6 @@ def local_name(col: Column) -> Column:
     return F.regexp_replace(col, "^.*[}:]", "")
 
 
-def contains_all(have: Column, want: Column) -> Column:
-    """True when every element of ``want`` is in ``have``."""
-    return F.size(F.array_except(want, have)) == 0
-
-
 def names_by_key(keys: list[str], raw_names: Column) -> Column:
     """Map of ``keys`` to the ``;``-separated names, cut to the shorter list."""
     names = F.transform(F.split(raw_names, ";"), trim_space)

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from syndica.functions.strings import contains_all, trim_space
+from syndica.functions.bind import let
+from syndica.functions.strings import text_or_empty
 from syndica.session import spread
 
 # Elements without content, attributes holding word lists, and elements whose
@@ -300,59 +301,64 @@ def register_html_nodes(spark: SparkSession, name: str = "html_nodes") -> None:
 
 
 # --- predicates on one row -------------------------------------------------------------
+# Written as SQL text: plans hold hundreds of them, and one text is one call to the JVM.
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _classes(column: str, classes: tuple[str, ...]) -> str:
+    return "".join(f" AND array_contains({column}, {_text(c)})" for c in classes)
+
 
 def is_tag(name: str, *classes: str) -> Column:
     """``name.class.class`` (H2)."""
-    match = F.col("tag") == name
-    for c in classes:
-        match = match & F.array_contains("classes", c)
-    return F.coalesce(match, F.lit(False))
+    return F.expr(f"coalesce(tag = {_text(name)}{_classes('classes', classes)}, false)")
 
 
-def attr(name: str) -> Column:
-    """Attribute text, trimmed, empty when absent."""
-    return trim_space(F.coalesce(raw_attr(name), F.lit("")))
+def raw_attr(name: str) -> Column:
+    return F.expr(f"try_element_at(attrs, {_text(name)})")
 
 
-def raw_attr(name: str) -> Column:
-    return F.try_element_at(F.col("attrs"), F.lit(name))
+def attr(name: str) -> Column:
+    """Attribute text, trimmed, empty when absent."""
+    return text_or_empty(raw_attr(name))
 
 
 def has_attr(name: str) -> Column:
-    return raw_attr(name).isNotNull()
+    return F.expr(f"try_element_at(attrs, {_text(name)}) IS NOT NULL")
 
 
 def attr_starts(name: str, prefix: str) -> Column:
-    return F.coalesce(F.startswith(raw_attr(name), F.lit(prefix)), F.lit(False))
+    return F.expr(
+        f"coalesce(startswith(try_element_at(attrs, {_text(name)}), {_text(prefix)}), false)"
+    )
 
 
 def attr_contains(name: str, part: str) -> Column:
-    return F.coalesce(F.contains(raw_attr(name), F.lit(part)), F.lit(False))
+    return F.expr(
+        f"coalesce(contains(try_element_at(attrs, {_text(name)}), {_text(part)}), false)"
+    )
 
 
 def parent_is(level: int, tag: str, *classes: str, id_prefix: str = "") -> Column:
     """The ancestor ``level`` steps up (1 = parent) matches: the child combinator (H5)."""
-    up = F.get(F.col("parents"), F.lit(level - 1))
-    match = up["tag"] == tag
-    for c in classes:
-        match = match & F.array_contains(up["classes"], c)
-    if id_prefix:
-        match = match & F.startswith(up["attr_id"], F.lit(id_prefix))
-    return F.coalesce(match, F.lit(False))
+    up = f"get(parents, {level - 1})"
+    starts = f" AND startswith({up}.attr_id, {_text(id_prefix)})" if id_prefix else ""
+    return F.expr(
+        f"coalesce({up}.tag = {_text(tag)}{_classes(up + '.classes', classes)}{starts}, false)"
+    )
 
 
 def matches_selector(selector: Column) -> Column:
     """A comma list of ``tag.class...`` selectors held in a column; the tag may be empty."""
-    def one(part: Column) -> Column:
-        pieces = F.split(part, r"\.")
-        wanted = F.get(pieces, F.lit(0))
-        return ((wanted == "") | (wanted == F.col("tag"))) & contains_all(
-            F.coalesce(F.col("classes"), F.array().cast("array<string>")),
-            F.slice(pieces, F.lit(2), F.size(pieces)),
-        )
-
-    return F.coalesce(
-        F.exists(F.split(trim_space(selector), r"\s*,\s*"), one), F.lit(False)
+    return let(
+        {"selector": selector, "tag": F.col("tag"), "classes": F.col("classes")},
+        [],
+        r"""coalesce(exists(split(trim(v.selector), r'\s*,\s*'), one ->
+            split(one, '[.]')[0] IN ('', v.tag) AND size(array_except(
+                slice(split(one, '[.]'), 2, 1000000),
+                coalesce(v.classes, cast(array() AS array<string>)))) = 0), false)""",
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from syndica.functions.strings import guid, is_blank, trim_space
+from syndica.functions.bind import let
+from syndica.functions.strings import guid, is_blank
 from syndica.functions.times import embedded_date, first_embedded_date, is_plain_date
 from syndica.functions.urls import resolve_url, url_path
 from syndica.operators.htmltree import (
@@ -23,10 +24,10 @@ OPTIONS = ["link_pattern", "link_selector", "parent_selector"]
 
 def selector_tags(selector: Column) -> Column:
     """Tag names a selector list can match; ``*`` when a part names none."""
-    return F.transform(
-        F.split(trim_space(selector), r"\s*,\s*"),
-        lambda part: F.coalesce(F.nullif(F.split_part(part, F.lit("."), F.lit(1)), F.lit("")),
-                                F.lit("*")),
+    return let(
+        {"selector": selector}, [],
+        r"""transform(split(trim(v.selector), r'\s*,\s*'),
+            one -> coalesce(nullif(split(one, '[.]')[0], ''), '*'))""",
     )
 
 

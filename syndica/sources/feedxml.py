@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from syndica.functions.strings import trim_space
+from syndica.functions.strings import text_or_empty
 from syndica.session import spread
 
 # Record elements and the children that hold metadata.
@@ -98,38 +98,23 @@ def feed_records(docs: DataFrame, keep: Iterable[str] = ("page_id",), body_col:
     return source.mapInArrow(run, schema)
 
 
-def _first(matches: Column, field: str) -> Column:
-    return trim_space(F.coalesce(F.get(matches, F.lit(0))[field], F.lit("")))
-
-
 def child_text(name: str) -> Column:
     """Text of the first child of that name that has any; trimmed, else empty."""
-    return _first(
-        F.filter("children", lambda c: (c["name"] == name) & (F.length(c["text"]) > 0)), "text"
-    )
+    return text_or_empty(F.expr(
+        f"get(filter(children, c -> c.name = '{name}' AND length(c.text) > 0), 0).text"
+    ))
 
 
 def child_href(name: str) -> Column:
     """First non-blank ``href`` of the children of that name."""
-    return _first(
-        F.filter(
-            "children",
-            lambda c: (c["name"] == name) & (trim_space(F.coalesce(c["href"], F.lit(""))) != ""),
-        ),
-        "href",
-    )
+    return text_or_empty(F.expr(
+        f"get(filter(children, c -> c.name = '{name}' AND trim(c.href) <> ''), 0).href"
+    ))
 
 
 def nested_text(outer: str, inner: str) -> Column:
     """First non-blank text of ``inner`` below the children named ``outer``."""
-    inner_texts = F.transform(
-        F.filter("children", lambda c: c["name"] == outer),
-        lambda c: trim_space(F.coalesce(
-            F.get(
-                F.filter(c["parts"], lambda p: (p["name"] == inner) & (F.length(p["text"]) > 0)),
-                F.lit(0),
-            )["text"],
-            F.lit(""),
-        )),
-    )
-    return F.coalesce(F.get(F.filter(inner_texts, lambda t: t != ""), F.lit(0)), F.lit(""))
+    return text_or_empty(F.expr(f"""get(filter(transform(
+        filter(children, c -> c.name = '{outer}'),
+        c -> get(filter(c.parts, p -> p.name = '{inner}' AND length(p.text) > 0), 0).text),
+        t -> trim(t) <> ''), 0)"""))
