@@ -18,6 +18,8 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            # keep several partitions, so that borders between them are exercised
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
             "spark.python.sql.dataFrameDebugging.enabled": "false",
