@@ -38,7 +38,8 @@ def first_non_empty(*cols: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return F.coalesce(trim_space(col) == "", F.lit(True))
+    """Nothing but white space; the search ends at the first other character."""
+    return F.coalesce(~col.rlike(f"[^{SPACE_CLASS}]"), F.lit(True))
 
 
 def has_media_count(title: Column) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,7 +33,7 @@ VOID = frozenset(
 WORD_LISTS = frozenset(("class", "rel"))
 SILENT = frozenset("rp rt script style template".split())
 
-TEXT_TAG = "#text"
+TEXT_TAG, PAGE_TAG = "#text", "#page"
 NODE_FIELDS = ["node_id", "last_id", "parent_id", "depth", "sib_ord", "tag_ord", "tag",
                "classes", "attrs", "text", "parents", "near_id"]
 _PARENT = T.StructType([
@@ -229,6 +230,7 @@ def html_nodes(
     keep: Iterable[str] = ("page_id",),
     html_col: str = "html",
     ups: int = 2,
+    page_rows: bool = False,
 ) -> DataFrame:
     """One row per wanted element of each page, in document order (H1).
 
@@ -237,7 +239,8 @@ def html_nodes(
     The array columns ``tags_col`` and ``text_tags_col`` add tags page by page, ``*`` standing
     for all. ``near_id`` is the closest ancestor among ``near_tags``; ``parents``
     holds the ``ups`` closest ancestors, nearest first. Text strings matching
-    ``strings_like`` become rows tagged ``#text``. ``keep`` columns are repeated per row.
+    ``strings_like`` become rows tagged ``#text``; with ``page_rows`` every page, even one
+    without a body, has a row tagged ``#page``. ``keep`` columns are repeated per row.
     """
     keep = list(keep)
     wanted = None if tags is None else frozenset(tags)
@@ -255,6 +258,7 @@ def html_nodes(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(strings_like) if strings_like else None
+        first = [[0, 0, None, 0, None, None, PAGE_TAG, *[None] * 5]] if page_rows else []
         for batch in batches:
             bodies = batch.column(len(keep))
             rows, owner = [], []
@@ -269,8 +273,9 @@ def html_nodes(
             for i in range(batch.num_rows):
                 here = widen(wanted, batch, tags_col, i)
                 texts = widen(text_tags, batch, text_tags_col, i)
-                for row in parse_page(bodies[i].as_py(), here, attr_names, texts,
-                                      near_tags, pattern, kept_attrs, ups):
+                found = parse_page(bodies[i].as_py(), here, attr_names, texts, near_tags,
+                                   pattern, kept_attrs, ups)
+                for row in chain(first, found):
                     rows.append(row)
                     owner.append(i)
                     if len(rows) >= _BATCH_ROWS:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from syndica.functions.bind import let
 from syndica.functions.strings import collapse_space, strip_trailing_punctuation
 from syndica.functions.urls import resolve_url, url_path
 from syndica.operators.hosts import last_page_per_host
@@ -42,36 +43,41 @@ def page_title(html: Column) -> Column:
 
 def site_generator(html: Column, path: Column) -> Column:
     """First known generator named in the page or its path, else ``unknown``."""
-    page, where = F.lower(html), F.lower(path)
-    column = F.when(F.contains(page, F.lit(GENERATORS[0]))
-                    | F.contains(where, F.lit(GENERATORS[0])), GENERATORS[0])
-    for name in GENERATORS[1:]:
-        column = column.when(
-            F.contains(page, F.lit(name)) | F.contains(where, F.lit(name)), name
-        )
-    return column.otherwise("unknown")
+    cases = " ".join(
+        f"WHEN contains(low.page, '{g}') OR contains(low.path, '{g}') THEN '{g}'"
+        for g in GENERATORS
+    )
+    return let(
+        {"page": html, "path": path},
+        [("low", {"page": "lower(v.page)", "path": "lower(v.path)"})],
+        f"CASE {cases} ELSE 'unknown' END",
+    )
 
 
-def declared_feeds(pages: DataFrame, key: str = "page_id", max_feeds: int = MAX_FEEDS
-                   ) -> DataFrame:
-    """Feed URLs a page declares, absolute, distinct, in order: ``(key, feeds)``.
+def declared_feeds(pages: DataFrame, keep: list[str], max_feeds: int = MAX_FEEDS) -> DataFrame:
+    """Every page with the feed URLs it declares: absolute, distinct, in order.
 
-    Pages that declare none have no row. The list is gathered per page.
+    ``keep`` holds the page's key and whatever else should survive; the base address is
+    ``url``. The list is gathered per page, in the one pass that reads the bodies.
     """
     nodes = html_nodes(
-        pages.filter(F.contains("html", F.lit("alternate"))),
+        pages.withColumn(
+            "html", F.when(F.contains("html", F.lit("alternate")), F.col("html"))
+        ),
         tags=("link",), text_tags=(), kept_attrs=("rel", "type", "href"),
-        keep=(key, "url"), ups=0,
+        keep=[*keep, "url"], ups=0, page_rows=True,
     )
     rel = F.split(F.coalesce(raw_attr("rel"), F.lit("")), r"\s+")
-    found = nodes.filter(
+    declared = (
         F.array_contains(rel, "alternate")
         & F.coalesce(raw_attr("type"), F.lit("")).rlike(FEED_TYPE)
         & (attr("href") != "")
     )
     link = F.struct("node_id", resolve_url(F.col("url"), attr("href")).alias("href"))
-    return found.groupBy(key).agg(F.array_sort(F.collect_list(link)).alias("links")).select(
-        key,
+    return nodes.groupBy(*keep, "url").agg(
+        F.array_sort(F.collect_list(F.when(declared, link))).alias("links")
+    ).select(
+        *keep, "url",
         F.slice(F.array_distinct(F.col("links.href")), 1, max_feeds).alias("feeds"),
     )
 
@@ -83,7 +89,7 @@ def probe_pages(responses: DataFrame) -> DataFrame:
     """
     failed = F.coalesce(F.col("error") != "", F.lit(False))
     refused = ~failed & (F.col("status") >= 400)
-    ok = ~failed & ~refused
+    ok = ~failed & ~F.coalesce(F.col("status") >= 400, F.lit(False))
     is_html = ok & F.coalesce(F.contains("content_type", F.lit("html")), F.lit(False))
     base = responses.select(
         "input_ord",
@@ -94,17 +100,17 @@ def probe_pages(responses: DataFrame) -> DataFrame:
         F.when(failed, F.col("error")).when(refused, "HTTPError").otherwise("").alias("error"),
         F.when(is_html, decode_body(F.col("body"), BODY_CAP_BYTES)).alias("html"),
     )
-    feeds = declared_feeds(base.filter(F.col("html").isNotNull()), "input_ord")
-    narrow = base.select(
-        "input_ord", F.col("asked_url").alias("url"), "ok", "status",
-        F.col("url").alias("final_url"), "error",
-        F.coalesce(page_title(F.col("html")), F.lit("")).alias("title"),
+    described = base.withColumn(
+        "title", F.coalesce(page_title(F.col("html")), F.lit(""))
+    ).withColumn(
+        "generator",
         F.when(
             F.col("html").isNotNull(), site_generator(F.col("html"), url_path(F.col("url")))
-        ).otherwise("unknown").alias("generator"),
+        ).otherwise("unknown"),
     )
-    return narrow.join(feeds, "input_ord", "left").withColumn(
-        "feeds", F.coalesce("feeds", F.array().cast("array<string>"))
+    kept = ["input_ord", "asked_url", "ok", "status", "error", "title", "generator"]
+    return declared_feeds(described, kept).withColumnRenamed("url", "final_url").withColumnRenamed(
+        "asked_url", "url"
     )
 
 

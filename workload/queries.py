@@ -795,22 +795,45 @@ def run_summary(spark, sf_dir):
 
 
 @query("write_feeds", """
-SELECT 'c' || o_custkey AS feed_key, CASE WHEN c_acctbal > 5000 THEN 2 ELSE 1 END AS version,
-       least(count(*), 10) AS n_items
-FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2
+SELECT o_orderpriority || '/' || o_orderstatus AS feed_key, CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS version,
+       count(*) AS n_items
+FROM orders GROUP BY 1, 2
 """)
 def write_feeds(spark, sf_dir):
     """Two runs; feeds that the second run lacks keep their first documents."""
     path = scratch_path(spark, "feeds")
-    docs = _order_documents(spark, sf_dir).select("feed_key", "content", "n_items")
+    status = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("order:"), "o_orderkey").alias("guid"),
+        F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("status"),
+    )
+    rows = order_items(spark, sf_dir).join(status, "guid").withColumn("feed_key", F.col("status"))
+    docs = publish.rss_document_parts(
+        rows, _feed_table(spark, sf_dir, rows), items.newest_first("pos"), F.expr(_BUILT), 500
+    )
     publish.write_feeds(docs.withColumn("version", F.lit(1)), path)
+    publish.write_feeds(
+        docs.filter(F.endswith("feed_key", F.lit("P"))).withColumn("version", F.lit(2)), path
+    )
+    return spark.read.parquet(path).groupBy("feed_key", "version").agg(
+        F.sum("n_items").alias("n_items")
+    )
+
+
+@query("feed_runs", """
+SELECT 'c' || o_custkey AS feed_key, CASE WHEN c_acctbal > 5000 THEN 2 ELSE 1 END AS run,
+       least(count(*), 10) AS n_items
+FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2
+""")
+def feed_runs(spark, sf_dir):
+    """One feed per customer, kept as runs; the second run brings only some feeds."""
+    path = scratch_path(spark, "runs")
+    docs = _order_documents(spark, sf_dir)
     rich = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(
         F.concat(F.lit("c"), "c_custkey").alias("feed_key")
     )
-    publish.write_feeds(
-        docs.join(rich, "feed_key", "left_semi").withColumn("version", F.lit(2)), path
-    )
-    return spark.read.parquet(path).select("feed_key", "version", "n_items")
+    publish.append_feed_run(docs, path, 1)
+    publish.append_feed_run(docs.join(rich, "feed_key", "left_semi"), path, 2)
+    return publish.current_feeds(spark, path).select("feed_key", "run", "n_items")
 
 
 @query("publish_snapshot", """
