@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 # Characters that count as white space, as a regex class body.
 SPACE_CLASS = r"\s\x1c-\x1f\x85   -     　"
 
+# The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(code) for code in range(0x2000, 0x200B)
+)
+
 # Media-count marker in a title, e.g. [36P], [10P+1V] or the full-width form.
 MEDIA_COUNT = r"(?iU)[\[［]\s*\d+\s*(?:P(?:\s*\+\s*\d+\s*V)?|V)\s*[\]］]"
 
@@ -17,7 +22,7 @@ BLOCK_HEADER = r"(?U)^≡\s*(.+?)\s*≡$"
 
 def trim_space(col: Column) -> Column:
     """Strip every kind of Unicode white space from both ends."""
-    return F.regexp_replace(col, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def text_or_empty(col: Column) -> Column:

@@ -71,15 +71,18 @@ def first_embedded_date(*texts: Column, zone: str = SITE_ZONE) -> Column:
 _WEEKDAY = r"(?i)^(?:[a-z]+, ?|(?:mon|tue|wed|thu|fri|sat|sun) )?"
 _CLOCK = r" (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?: (\S+).*)?$"
 _SHAPES = [
-    (_WEEKDAY + r"(\d{1,2})[ \-]([a-z]{3,9})[ \-](\d{2,4})" + _CLOCK, (1, 2, 3, 4, 5, 6, 7)),
-    (_WEEKDAY + r"([a-z]{3,9}) (\d{1,2}),? (\d{2,4})" + _CLOCK, (2, 1, 3, 4, 5, 6, 7)),
     (r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2}(?:[.,]\d{1,6})?)\d*)?)?"
      r"(Z|[+\-]\d{2}:?\d{2}(?::?\d{2})?)?)?$", (3, 2, 1, 4, 5, 6, 7)),
+    (_WEEKDAY + r"(\d{1,2})[ \-]([a-z]{3,9})[ \-](\d{2,4})" + _CLOCK, (1, 2, 3, 4, 5, 6, 7)),
+    (_WEEKDAY + r"([a-z]{3,9}) (\d{1,2}),? (\d{2,4})" + _CLOCK, (2, 1, 3, 4, 5, 6, 7)),
 ]
 
 
 def feed_ts(raw: Column) -> Column:
-    """Time of a feed entry: RFC 2822 (weekday ignored) or ISO 8601; zoneless means UTC."""
+    """Time of a feed entry: RFC 2822 (weekday ignored) or ISO 8601; zoneless means UTC.
+
+    A text matches one shape at most; the cheapest to refuse is tried first.
+    """
     cut = "\n".join(
         f"WHEN t.text RLIKE r'{pattern}' THEN split(regexp_replace(t.text, r'{pattern}', "
         f"'{lines}'), '\\n')"
@@ -121,7 +124,7 @@ def feed_ts(raw: Column) -> Column:
 
 def drop_sentinel_year(ts: Column, year: int = 1970) -> Column:
     """NULL for the placeholder year that stands for an unset time."""
-    return F.when(F.year(ts) != year, ts)
+    return let({"ts": ts}, [], f"if(year(v.ts) <> {year}, v.ts, NULL)")
 
 
 def rfc2822(ts: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from syndica.functions.bind import computed
 from syndica.functions.strings import empty_to_null, first_non_empty, guid, is_blank, text_or_empty
 from syndica.functions.times import drop_sentinel_year, feed_ts
 from syndica.functions.urls import resolve_url, url_origin
@@ -20,20 +21,19 @@ def extract_feed_items(docs: DataFrame, max_items: int | None = 100, prefix: str
     if max_items is not None and max_items <= 0:
         docs = docs.limit(0)
     records = feed_records(docs.filter(~is_blank(F.col("html"))), keep=PAGE_KEYS)
-    fields = records.select(
-        *PAGE_KEYS, "pos",
-        child_text("title").alias("title"),
-        first_non_empty(child_text("link"), child_href("link")).alias("href"),
-        child_text("guid").alias("own_guid"),
-        child_text("id").alias("own_id"),
-        first_non_empty(
+    fields = computed(records, [*PAGE_KEYS, "pos"], {
+        "title": child_text("title"),
+        "href": first_non_empty(child_text("link"), child_href("link")),
+        "own_guid": child_text("guid"),
+        "own_id": child_text("id"),
+        "date_text": first_non_empty(
             child_text("pubDate"), child_text("published"), child_text("updated")
-        ).alias("date_text"),
-        first_non_empty(
+        ),
+        "author": first_non_empty(
             child_text("creator"), child_text("name"), nested_text("author", "name"),
             child_text("author"),
-        ).alias("author"),
-    )
+        ),
+    })
     key = first_non_empty(F.col("own_guid"), F.col("own_id"), F.col("href"))
     items = fields.filter((F.col("title") != "") & (key != "")).select(
         *PAGE_KEYS,
@@ -53,14 +53,13 @@ def extract_json_items(docs: DataFrame, max_items: int | None = 100, prefix: str
     if max_items is not None and max_items <= 0:
         docs = docs.limit(0)
     rows = json_elements(docs.filter(~is_blank(F.col("html"))), "items", "html", PAGE_KEYS)
-    fields = rows.select(
-        *PAGE_KEYS, "pos",
-        text_or_empty(member("id")).alias("id"),
-        text_or_empty(member("title")).alias("title"),
-        text_or_empty(
+    fields = computed(rows, [*PAGE_KEYS, "pos"], {
+        "id": text_or_empty(member("id")),
+        "title": text_or_empty(member("title")),
+        "date_text": text_or_empty(
             first_non_empty(member("created_at"), member("updated_at"))
-        ).alias("date_text"),
-    )
+        ),
+    })
     base = F.concat(url_origin(F.col("url"), default_origin), F.lit("/"))
     items = fields.filter((F.col("id") != "") & (F.col("title") != "")).select(
         *PAGE_KEYS,
