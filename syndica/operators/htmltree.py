@@ -62,15 +62,16 @@ _BATCH_ROWS = 4096
 class _Open:
     """An element whose end has not been seen."""
 
-    __slots__ = ("row", "tag", "classes", "attr_id", "node_id", "text_from", "children",
-                 "per_tag", "near_id")
+    __slots__ = ("row", "tag", "found", "node_id", "text_from", "children", "per_tag", "near_id")
 
-    def __init__(self, tag, classes, attr_id, node_id, text_from, near_id):
-        self.row = None
-        self.tag, self.classes, self.attr_id = tag, classes, attr_id
-        self.node_id, self.text_from, self.near_id = node_id, text_from, near_id
+    def __init__(self, tag, found, node_id, near_id):
+        self.row = self.text_from = self.per_tag = None
+        self.tag, self.found, self.node_id, self.near_id = tag, found, node_id, near_id
         self.children = 0
-        self.per_tag: dict[str, int] = {}
+
+    def summary(self):
+        return {"tag": self.tag, "classes": self.found.get("class", "").split(),
+                "attr_id": self.found.get("id", "")}
 
 
 class _Tokens(HTMLParser):
@@ -87,7 +88,8 @@ class _Tokens(HTMLParser):
         self.pending: list[str] = []
         self.counter = 0
         self.silent = 0
-        self.root = _Open("", [], "", 0, 0, None)
+        self.texts_open = 0
+        self.root = _Open("", {}, 0, None)
         self.stack = [self.root]
         self.open_names: dict[str, int] = {}
         self.ended_void: list[str] = []
@@ -114,25 +116,31 @@ class _Tokens(HTMLParser):
         top = self.stack[-1]
         self.counter += 1
         found = {name: "" if value is None else value for name, value in attrs}
-        classes = found.get("class", "").split()
-        near = top.near_id
-        node = _Open(tag, classes, found.get("id", ""), self.counter, len(self.chunks), near)
-        sib_ord, tag_ord = top.children, top.per_tag.get(tag, 0)
-        top.children, top.per_tag[tag] = sib_ord + 1, tag_ord + 1
+        node = _Open(tag, found, self.counter, top.near_id)
+        sib_ord = top.children
+        top.children += 1
         if (
-            self.tags is None or tag in self.tags
-            or any(name in self.attr_names for name in found)
+            self.tags is None or tag in self.tags or not self.attr_names.isdisjoint(found)
         ):
+            counts = top.per_tag
+            if counts is None:
+                counts = top.per_tag = {}
+            # counts the wanted elements of the tag, so all of them for a tag in ``tags``
+            tag_ord = counts.get(tag, 0)
+            counts[tag] = tag_ord + 1
             parents = [
-                {"tag": p.tag, "classes": p.classes, "attr_id": p.attr_id}
-                for p in self.stack[:-self.ups - 1:-1] if p is not self.root
+                p.summary() for p in self.stack[:-self.ups - 1:-1] if p is not self.root
             ] if self.ups else None
-            kept = found if self.kept_attrs is None else {
-                k: v for k, v in found.items() if k in self.kept_attrs
-            }
+            kept = found.items() if self.kept_attrs is None else [
+                pair for pair in found.items() if pair[0] in self.kept_attrs
+            ]
+            classes = found["class"].split() if "class" in found else []
             node.row = [self.counter, None, top.node_id, len(self.stack), sib_ord, tag_ord, tag,
-                        classes, list(kept.items()), None, parents, near]
+                        classes, list(kept), None, parents, top.near_id]
             self.rows.append(node.row)
+            if self.text_tags is None or tag in self.text_tags:
+                node.text_from = len(self.chunks)
+                self.texts_open += 1
         if tag in self.near_tags:
             node.near_id = node.node_id
         if tag in SILENT:
@@ -168,17 +176,20 @@ class _Tokens(HTMLParser):
             self.silent -= 1
         if node.row is not None:
             node.row[1] = self.counter
-            if self.text_tags is None or node.tag in self.text_tags:
+            if node.text_from is not None:
                 node.row[9] = " ".join(self.chunks[node.text_from:])
+                self.texts_open -= 1
 
     def handle_data(self, data):
-        self.pending.append(data)
+        # text outside every element whose text is wanted need not be kept
+        if self.texts_open or self.strings_like is not None:
+            self.pending.append(data)
 
     def handle_charref(self, name):
-        self.pending.append(unescape(f"&#{name};"))
+        self.handle_data(unescape(f"&#{name};"))
 
     def handle_entityref(self, name):
-        self.pending.append(html5.get(f"{name};", f"&{name}"))
+        self.handle_data(html5.get(f"{name};", f"&{name}"))
 
     def handle_comment(self, data):
         self._end_text()
@@ -192,7 +203,7 @@ class _Tokens(HTMLParser):
     def unknown_decl(self, data):
         self._end_text()
         if data[:6].upper() == "CDATA[":
-            self.pending.append(data[6:])
+            self.handle_data(data[6:])
             self._end_text()
 
     def finish(self) -> list[list]:
