@@ -22,6 +22,7 @@ from syndica.operators.htmltree import (
 from syndica.operators.items import finish_items
 
 PAGE_KEYS = ["page_id", "feed_key", "page_seq", "url"]
+_KEYS = [*PAGE_KEYS, "images_only"]
 
 # Id patterns of listing rows.
 THREAD_ANCHOR = r"^t(\d+)$"
@@ -34,6 +35,13 @@ def _pages_with(pages: DataFrame, marker: str) -> DataFrame:
     return pages.filter(~is_blank(F.col("html")) & F.contains("html", F.lit(marker)))
 
 
+def _with_image_rule(pages: DataFrame, images_only: bool) -> DataFrame:
+    """The image-posts filter as a column; a source's own rule goes before the default."""
+    if "images_only" not in pages.columns:
+        return pages.withColumn("images_only", F.lit(images_only))
+    return pages.withColumn("images_only", F.coalesce("images_only", F.lit(images_only)))
+
+
 def in_section(href: Column, section: Column) -> Column:
     """The link's path names the expected section; any link passes without one."""
     parts = path_parts(href)
@@ -50,14 +58,15 @@ def extract_listing_a(pages: DataFrame, max_items: int | None = 100,
     """Rows ``tr.tr3.t_one.tac``: anchor, author and time of the third cell."""
     if max_items is not None and max_items <= 0:
         pages = pages.limit(0)
+    pages = _with_image_rule(pages, images_only)
     nodes = html_nodes(
         _pages_with(pages, "tr3"),
         tags=("tr", "td", "h3", "a", "div"), attr_names=("data-timestamp", "title"),
         text_tags=("a",), kept_attrs=("id", "href", "data-timestamp", "title"),
-        keep=PAGE_KEYS, ups=0,
+        keep=_KEYS, ups=0,
     )
     kinds = nodes.select(
-        *PAGE_KEYS, "node_id", "last_id", "parent_id", "attrs", "text",
+        *_KEYS, "node_id", "last_id", "parent_id", "attrs", "text",
         is_tag("tr", "tr3", "t_one", "tac").alias("is_row"),
         is_tag("td", "tal").alias("is_tal"),
         is_tag("h3").alias("is_h3"),
@@ -86,7 +95,7 @@ def extract_listing_a(pages: DataFrame, max_items: int | None = 100,
     # a row and its third cell meet under the row's number
     row_id = F.when(F.col("is_row"), F.col("node_id")).otherwise(F.col("parent_id"))
     rows = (
-        scoped.groupBy(*PAGE_KEYS, row_id.alias("row_id"))
+        scoped.groupBy(*_KEYS, row_id.alias("row_id"))
         .agg(
             F.bool_or("is_row").alias("is_row"),
             F.first(F.when(F.col("is_row"), F.col("anchor")), True).alias("anchor"),
@@ -100,9 +109,8 @@ def extract_listing_a(pages: DataFrame, max_items: int | None = 100,
     keep = (
         (thread != "") & (href != "") & (title != "")
         & in_section(href, query_param(F.col("url"), "fid"))
+        & (~F.col("images_only") | has_media_count(title))
     )
-    if images_only:
-        keep = keep & has_media_count(title)
     items = rows.filter(keep).select(
         *PAGE_KEYS,
         guid("", thread).alias("guid"),
@@ -120,14 +128,15 @@ def extract_listing_b(pages: DataFrame, max_items: int | None = 100, images_only
     """Rows ``tbody[id^=normalthread_]`` of a section page, sticky rows excluded."""
     if max_items is not None and max_items <= 0:
         pages = pages.limit(0)
+    pages = _with_image_rule(pages, images_only)
     section = query_param(F.col("url"), "fid")
     nodes = html_nodes(
         _pages_with(pages, "normalthread_").filter(section.isNotNull()),
         tags=("tbody", "td", "cite", "a", "em", "img"), text_tags=("a", "em"),
-        kept_attrs=("id", "href", "src"), keep=PAGE_KEYS,
+        kept_attrs=("id", "href", "src"), keep=_KEYS,
     )
     kinds = nodes.select(
-        *PAGE_KEYS, "node_id", "last_id", "attrs", "text",
+        *_KEYS, "node_id", "last_id", "attrs", "text",
         (is_tag("tbody") & attr_starts("id", "normalthread_")).alias("is_row"),
         (is_tag("a") & attr_contains("href", THREAD_LINK)
          & parent_is(1, "span", id_prefix="thread_") & parent_is(2, "th", "subject")
@@ -158,9 +167,8 @@ def extract_listing_b(pages: DataFrame, max_items: int | None = 100, images_only
     href, title = F.col("anchor.href"), F.col("anchor.title")
     keep = (
         (thread != "") & (href != "") & (title != "") & has_single_param(href, "tid", thread)
+        & (~F.col("images_only") | F.col("has_icon"))
     )
-    if images_only:
-        keep = keep & F.col("has_icon")
     items = rows.filter(keep).select(
         *PAGE_KEYS,
         guid(prefix, section, thread).alias("guid"),

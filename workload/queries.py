@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from syndica.functions import urls
 from syndica.operators import freshness, hosts, htmltree, items
 from syndica.operators.ranges import ordinals
-from syndica.plans import dispatch, feeds, links, listing, probe, publish
+from syndica.plans import build, dispatch, feeds, links, listing, probe, publish
 from syndica.session import scratch_path
 from syndica.sources import catalog, pages as page_source
 from syndica.streaming import ingest, state
@@ -851,6 +851,58 @@ def publish_snapshot(spark, sf_dir):
     )
 
 
+@query("build_feeds", f"""
+WITH b AS ({_LISTING_B.format(where="AND o_orderkey % 3 = 0", limit=100)}),
+     shown AS (SELECT guid FROM b),
+     g AS (SELECT (p_partkey // 40) % 2 AS feed, CAST(p_partkey AS VARCHAR) AS album FROM part
+           UNION SELECT 1, '9' || p_partkey FROM part WHERE (p_partkey // 40) % 2 = 1 AND p_partkey % 4 = 0)
+SELECT 'forum-b' AS feed_key, CAST(count(*) AS BIGINT) AS n_items FROM shown
+UNION ALL SELECT 'gallery', count(*) FROM g
+UNION ALL SELECT 'atom', count(*) FROM orders
+UNION ALL SELECT 'all', (SELECT count(DISTINCT album) FROM g) + (SELECT count(*) FROM orders)
+UNION ALL SELECT 'failed', 1
+UNION ALL SELECT 'opml', 6
+""")
+def build_feeds(spark, sf_dir):
+    """One run from landed pages to documents; counts of what it publishes."""
+    pages = None
+    for make in (render.listing_b_pages, render.gallery_pages, render.atom_pages):
+        part = make(spark, sf_dir).filter("page_id < 1000000000").select(
+            F.xxhash64("feed_key", "page_id").alias("page_id"), "feed_key", "page_seq", "url", "html"
+        )
+        if make is render.gallery_pages:
+            part = part.withColumn("feed_key", F.expr("if(page_seq % 2 = 0, 'gallery-1', 'gallery-0')"))
+        pages = part if pages is None else pages.unionByName(part)
+    known = pages.groupBy(F.col("feed_key").alias("key")).agg(F.min("url").alias("source_url"))
+    known = known.unionByName(spark.range(1).selectExpr("'silent' AS key", "'https://s.example/' AS source_url"))
+    k = F.col("key")
+    sources = known.select(
+        F.xxhash64("key").alias("source_ord"), "key", "source_url", F.concat(F.lit("Feed "), k).alias("feed_title"),
+        F.when(k == "forum-b", "/rss/b.xml").otherwise(F.concat(F.lit("/gallery/"), k)).alias("route"),
+        F.concat(F.lit("https://p.example/"), k).alias("public_feed_url"),
+        F.when(k == "forum-b", "auto").when(k == "atom", "rss").otherwise("links").alias("parser_kind"),
+        F.when(k == "gallery-0", r"^(?:\.\.)?/album/\d+$").otherwise("").alias("link_pattern"),
+        F.when(k == "gallery-1", "a.item-link").otherwise("").alias("link_selector"),
+        F.when(k == "gallery-0", "article.post").otherwise("").alias("parent_selector"),
+        (k == "forum-b").alias("images_only"), F.when(k == "forum-b", 1).alias("empty_pages"),
+    )
+    merged = {"all": {"prefix": "/gallery/", "title": "All", "source_url": "https://p.example/", "url": "https://p.example/all"}}
+    run = build.build_feeds(pages, sources, merged, F.expr(_BUILT), page_items=None)
+    path = scratch_path(spark, "build")
+    build.write_build(run, path)
+    written = spark.read.parquet(f"{path}/feeds").groupBy(
+        F.regexp_replace("feed_key", "-[01]$", "").alias("feed_key")
+    ).agg(F.sum("n_items").alias("n_items"))
+    failed = spark.read.json(f"{path}/warnings").select(
+        F.lit("failed").alias("feed_key"), F.col("n_failures").alias("n_items")
+    )
+    opml = spark.read.text(f"{path}/opml", wholetext=True).select(
+        F.lit("opml").alias("feed_key"),
+        (F.size(F.split("value", "<outline ")) - 1).cast("bigint").alias("n_items"),
+    ).groupBy("feed_key").agg(F.sum("n_items").alias("n_items"))
+    return written.unionByName(failed).unionByName(opml)
+
+
 # --- probing -------------------------------------------------------------------------------
 
 @query("extract_urls", r"""
