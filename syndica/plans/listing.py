@@ -78,20 +78,23 @@ def extract_listing_a(pages: DataFrame, max_items: int | None = 100,
     )
     flags = [c for c in kinds.columns if c.startswith("is_")]
     kept = kinds.filter(F.greatest(*flags))
+    # expressions added together share one window; rows without a part are dropped early
     marked = (
-        kept.withColumn("is_h3", F.col("is_h3") & inside(F.col("is_tal")))
+        kept.withColumns({
+            "is_h3": F.col("is_h3") & inside(F.col("is_tal")),
+            "is_time": F.col("is_time") & inside(F.col("is_f12")),
+        })
         .withColumn("is_link", F.col("is_link") & inside(F.col("is_h3")))
-        .withColumn("is_time", F.col("is_time") & inside(F.col("is_f12")))
+        .filter("is_row OR is_cell OR is_link OR is_author OR is_time")
     )
     anchor = F.struct(raw_attr("id").alias("id"), attr("href").alias("href"),
                       F.col("text").alias("title"))
     stamp = epoch_ts(raw_attr("data-timestamp"), raw_attr("title"))
-    scoped = (
-        marked.withColumn("anchor", first_inside(F.col("is_link"), anchor))
-        .withColumn("author", first_inside(F.col("is_author"), F.col("text")))
-        .withColumn("stamp", first_inside(F.col("is_time"), F.struct(stamp.alias("at"))))
-        .filter(F.col("is_row") | F.col("is_cell"))
-    )
+    scoped = marked.withColumns({
+        "anchor": first_inside(F.col("is_link"), anchor),
+        "author": first_inside(F.col("is_author"), F.col("text")),
+        "stamp": first_inside(F.col("is_time"), F.struct(stamp.alias("at"))),
+    }).filter(F.col("is_row") | F.col("is_cell"))
     # a row and its third cell meet under the row's number
     row_id = F.when(F.col("is_row"), F.col("node_id")).otherwise(F.col("parent_id"))
     rows = (
@@ -151,17 +154,19 @@ def extract_listing_b(pages: DataFrame, max_items: int | None = 100, images_only
     marked = (
         kinds.filter(F.greatest(*flags))
         .withColumn("in_by", inside(F.col("is_by")))
-        .withColumn("is_cite", F.col("is_cite") & F.col("in_by"))
+        .withColumns({"is_cite": F.col("is_cite") & F.col("in_by"),
+                      "is_date": F.col("is_date") & F.col("in_by")})
         .withColumn("is_author", F.col("is_anchor") & inside(F.col("is_cite")))
-        .withColumn("is_date", F.col("is_date") & F.col("in_by"))
+        .filter("is_row OR is_link OR is_author OR is_date OR is_icon")
     )
     anchor = F.struct(attr("href").alias("href"), F.col("text").alias("title"))
     rows = (
-        marked.withColumn("anchor", first_inside(F.col("is_link"), anchor))
-        .withColumn("author", first_inside(F.col("is_author"), F.col("text")))
-        .withColumn("date_text", first_inside(F.col("is_date"), F.col("text")))
-        .withColumn("has_icon", first_inside(F.col("is_icon"), F.lit(True)).isNotNull())
-        .filter("is_row AND anchor IS NOT NULL")
+        marked.withColumns({
+            "anchor": first_inside(F.col("is_link"), anchor),
+            "author": first_inside(F.col("is_author"), F.col("text")),
+            "date_text": first_inside(F.col("is_date"), F.col("text")),
+            "has_icon": first_inside(F.col("is_icon"), F.lit(True)).isNotNull(),
+        }).filter("is_row AND anchor IS NOT NULL")
     )
     thread = F.regexp_extract(raw_attr("id"), THREAD_ROW, 1)
     href, title = F.col("anchor.href"), F.col("anchor.title")
