@@ -25,7 +25,8 @@ _MAX_EPOCH = 253402300799
 
 
 def _int(sql: str) -> str:
-    return f"try_cast({sql} AS int)"
+    """Digits as a number. A cast that fails costs an exception, so empty text is kept away."""
+    return f"try_cast(nullif({sql}, '') AS int)"
 
 
 def epoch_ts(stamp: Column, title: Column, zone: str = SITE_ZONE) -> Column:
@@ -34,13 +35,13 @@ def epoch_ts(stamp: Column, title: Column, zone: str = SITE_ZONE) -> Column:
     return let(
         {"stamp": stamp, "title": title},
         [("t", {
-            "digits": r"regexp_extract(coalesce(v.stamp, ''), r'^(\d+)', 1)",
+            "digits": r"regexp_extract(coalesce(v.stamp, ''), r'^0*(\d+)', 1)",
             "part": f"""if(v.title RLIKE r'{_PINNED}', split(regexp_replace(v.title, r'{_PINNED}',
                 '$1\\n$2\\n$3\\n$4\\n$5\\n$6'), '\\n'), NULL)""",
         })],
         f"""CASE WHEN t.digits = '' THEN try_make_timestamp({civil}, '{zone}')
-            WHEN try_cast(t.digits AS bigint) <= {_MAX_EPOCH}
-            THEN timestamp_seconds(try_cast(t.digits AS bigint)) END""",
+            WHEN length(t.digits) <= 18 AND cast(left(t.digits, 18) AS bigint) <= {_MAX_EPOCH}
+            THEN timestamp_seconds(cast(left(t.digits, 18) AS bigint)) END""",
     )
 
 
@@ -93,7 +94,7 @@ def feed_ts(raw: Column) -> Column:
     zones = ", ".join(f"'{z}', {hours}" for z, hours in ZONES.items())
     shift = r"^([+\-])(\d{1,2}):?(\d{2})?:?(\d{2})?$"
     units = " + ".join(
-        f"coalesce(try_cast(regexp_extract(n.zone, r'{shift}', {i}) AS int), 0) * {seconds}"
+        f"coalesce({_int(f"regexp_extract(n.zone, r'{shift}', {i})")}, 0) * {seconds}"
         for i, seconds in ((2, 3600), (3, 60), (4, 1))
     )
     return let(
@@ -103,16 +104,19 @@ def feed_ts(raw: Column) -> Column:
             ("p", {"part": f"CASE {cut} END"}),
             ("n", {
                 "year": _int("p.part[2]"),
-                "month": f"""coalesce({_int("p.part[1]")},
-                    nullif(array_position(array({months}), lower(left(p.part[1], 3))), 0))""",
+                "month": f"""coalesce(
+                    nullif(array_position(array({months}), lower(left(p.part[1], 3))), 0),
+                    if(p.part[1] RLIKE '^[0-9]', {_int("p.part[1]")}, NULL))""",
                 "day": _int("p.part[0]"),
                 "hour": f"coalesce({_int('p.part[3]')}, 0)",
                 "minute": f"coalesce({_int('p.part[4]')}, 0)",
-                "second": "coalesce(try_cast(replace(p.part[5], ',', '.') AS decimal(8, 6)), 0)",
+                "second": """coalesce(
+                    try_cast(nullif(replace(p.part[5], ',', '.'), '') AS decimal(8, 6)), 0)""",
                 "zone": "upper(coalesce(p.part[6], ''))",
             }),
-            ("z", {"shift": f"""coalesce(try_element_at(map({zones}), n.zone) * 3600,
-                ({units}) * if(startswith(n.zone, '-'), -1, 1))"""}),
+            ("z", {"shift": f"""if(n.zone = '', 0, coalesce(
+                try_element_at(map({zones}), n.zone) * 3600,
+                ({units}) * if(startswith(n.zone, '-'), -1, 1)))"""}),
         ],
         """try_make_timestamp(
                 CASE WHEN n.year >= 100 THEN n.year WHEN n.year > 68 THEN n.year + 1900
