@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,25 @@ def start_item_ingest(pages: DataFrame, extract: Callable[[DataFrame], DataFrame
     )
 
 
+def _thin(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Drop repeats of a key inside each Arrow batch, before anything is shuffled.
+
+    A stream cannot aggregate before its stateful step, so without this every copy of a hot
+    key would travel to the one task that holds its state.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.table([batch.column(k) for k in keys], names=keys).append_column(
+                "_row", pa.array(range(batch.num_rows), pa.int32())
+            )
+            firsts = rows.group_by(keys).aggregate([("_row", "min")])["_row_min"]
+            yield batch.take(firsts.combine_chunks().sort())
+
+    return items.mapInArrow(run, items.schema)
+
+
 def first_seen(items: DataFrame, at: str = "fetched_at", keys: tuple[str, ...] =
                ("feed_key", "guid"), delay: str = "7 days") -> DataFrame:
     """Stream of items without repeats of a key inside the watermark delay (T5)."""
-    return items.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))
+    thinned = _thin(items, list(keys))
+    return thinned.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))

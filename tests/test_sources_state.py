@@ -169,3 +169,12 @@ def test_stream_state_and_dedup(spark, tmp_path):
     ingest.first_seen(keys).writeStream.format("parquet").option("path", distinct).option(
         "checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.feed_key for r in spark.read.parquet(distinct).collect()) == ["a", "b"]
+
+
+def test_stream_dedup_thins_copies_first(spark):
+    rows = spark.range(0, 5000, 1, 3).selectExpr(
+        "'f' AS feed_key", "if(id % 3 = 0, 'hot', concat('g', id % 100)) AS guid", "timestamp_seconds(id) AS fetched_at")
+    thinned = ingest._thin(rows, ["feed_key", "guid"])
+    assert thinned.filter("guid = 'hot'").count() == 3
+    assert thinned.select("guid").distinct().count() == rows.select("guid").distinct().count()
+    assert thinned.filter("guid = 'hot'").agg(F.min("fetched_at")).first() == rows.agg(F.min("fetched_at")).first()

@@ -450,6 +450,80 @@ def dispatch_extract(spark, sf_dir):
     )
 
 
+@query("all_sources", f"""
+SELECT 0 AS source_ord, 'forum-a-fid-16' AS key, '/rss.xml' AS route, 'listing_a' AS dialect
+UNION ALL SELECT 1, 'forum-b-fid-19', '/rss/forum-b-fid-19.xml', 'listing_b'
+UNION ALL SELECT 2, 'forum-b-highlights', '/rss/forum-b-highlights.xml', 'highlights'
+UNION ALL SELECT ((s_suppkey // 50) << 32) + s_suppkey % 50 + 3, 's' || s_suppkey, '/gallery/s' || s_suppkey || '.xml',
+  CASE s_suppkey % 5 WHEN 0 THEN 'feed_xml' WHEN 1 THEN 'links' ELSE 'json_api' END
+FROM supplier WHERE {_VALID_SOURCE}
+""")
+def all_sources(spark, sf_dir):
+    built = catalog.builtin_sources(
+        spark, "https://pub.example.com", "https://a.example.com/thread0806.php?fid=16", "A",
+        "https://b.example.com", [("19", "one")], "https://b.example.com/index.php", "home",
+    )
+    every = catalog.all_sources(built, _sources(spark, sf_dir), 3)
+    return every.select(
+        "source_ord", "key", "route",
+        catalog.dialect_of(F.col("parser_kind"), F.col("source_url")).alias("dialect"),
+    )
+
+
+@query("members_by_route", f"""
+SELECT agg AS aggregate_key, 's' || s_suppkey AS child_key,
+       row_number() OVER (PARTITION BY agg ORDER BY '/gallery/s' || s_suppkey || '.xml') AS rank
+FROM supplier, (SELECT 'gallery' AS agg, '/gallery/' AS prefix UNION ALL SELECT 'ones', '/gallery/s1') a
+WHERE {_VALID_SOURCE} AND starts_with('/gallery/s' || s_suppkey || '.xml', prefix)
+""")
+def members_by_route(spark, sf_dir):
+    members = items.members_by_route(
+        _sources(spark, sf_dir), {"gallery": "/gallery/", "ones": "/gallery/s1"}
+    )
+    ranked = ordinals(members, ["aggregate_key"], [F.col("child_ord").asc()], "rank")
+    return ranked.select("aggregate_key", "child_key", "rank")
+
+
+@query("static_opml", f"""
+WITH e AS (SELECT s_suppkey, '<outline text="' || replace(s_name, '&', '&amp;') || '" title="' || replace(s_name, '&', '&amp;')
+             || '" type="rss" xmlUrl="https://pub.example.com/gallery/s' || s_suppkey || '.xml" />' AS line
+           FROM supplier WHERE {_VALID_SOURCE}
+           UNION ALL SELECT 9223372036854775807,
+             '<outline text="All" title="All" type="rss" xmlUrl="https://pub.example.com/gallery.xml" />'),
+     r AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS rank FROM e),
+     p AS (SELECT (rank - 1) // 25 AS part_no, string_agg(line, '' ORDER BY rank) AS body, count(*) AS n_items FROM r GROUP BY 1)
+SELECT part_no, CASE WHEN part_no = 0 THEN '<?xml version=''1.0'' encoding=''utf-8''?>' || chr(10)
+         || '<opml version="2.0"><head><title>RSS Feeds</title></head><body>' ELSE '' END || body
+       || CASE WHEN part_no = (SELECT max(part_no) FROM p) THEN '</body></opml>' ELSE '' END AS content, n_items
+FROM p
+""")
+def static_opml(spark, sf_dir):
+    entries = publish.static_opml_entries(
+        _sources(spark, sf_dir), "All", "https://pub.example.com/gallery.xml"
+    )
+    return publish.opml_document_parts(entries, part_size=25)
+
+
+@query("served_routes", """
+SELECT 'c' || o_custkey AS feed_key, count(*) AS n_items, route
+FROM orders JOIN customer ON c_custkey = o_custkey,
+     LATERAL (SELECT '/c' || c_custkey || '.xml' AS route
+              UNION ALL SELECT '/vip/' || c_custkey || '.xml' WHERE c_acctbal > 5000) r
+GROUP BY ALL
+""")
+def served_routes(spark, sf_dir):
+    """Some feeds are served under a second route; both share one result."""
+    who = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), "c_custkey").alias("feed_key"), "c_custkey", "c_acctbal"
+    )
+    first = who.select("feed_key", F.expr("concat('/c', c_custkey, '.xml')").alias("route"))
+    second = who.filter("c_acctbal > 5000").select(
+        "feed_key", F.expr("concat('/vip/', c_custkey, '.xml')").alias("route")
+    )
+    counts = items.feed_counts(order_items(spark, sf_dir))
+    return items.serve_aliases(counts, first.unionByName(second))
+
+
 @query("enumerate_pages", f"""
 SELECT 's' || s_suppkey AS key, CAST(n AS INTEGER) AS page_seq,
        'https://h' || s_nationkey || '.example.com/' || CASE WHEN s_suppkey % 4 = 0 THEN 'rss.xml' ELSE 'list' END
