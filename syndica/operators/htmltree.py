@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from syndica.functions.bind import let
 from syndica.functions.strings import text_or_empty
-from syndica.session import spread
+from syndica.session import ship_package, spread
 
 # Elements without content, attributes holding word lists, and elements whose
 # strings are not part of the page text.
@@ -253,6 +253,7 @@ def html_nodes(
     ``strings_like`` become rows tagged ``#text``; with ``page_rows`` every page, even one
     without a body, has a row tagged ``#page``. ``keep`` columns are repeated per row.
     """
+    ship_package(pages.sparkSession)
     keep = list(keep)
     wanted = None if tags is None else frozenset(tags)
     attr_names, near_tags = frozenset(attr_names), frozenset(near_tags)
@@ -304,6 +305,7 @@ def html_nodes(
 
 def register_html_nodes(spark: SparkSession, name: str = "html_nodes") -> None:
     """Make ``LATERAL html_nodes(html)`` available to SQL."""
+    ship_package(spark)
     returns = T.StructType([T.StructField(n, t) for n, t in zip(NODE_FIELDS, _NODE_TYPES)])
 
     class HtmlNodes:

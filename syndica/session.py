@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -109,3 +110,26 @@ def spread(df: DataFrame, bytes_per_core: int = 4 * 1024 * 1024) -> DataFrame:
     size = estimated_bytes(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size is not None and size < cores * bytes_per_core else df
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The steps that run in Python are functions of the package, so workers must be able to
+    import it wherever they were started.
+    """
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    if context.applicationId in _shipped or not os.path.isdir(package):
+        return
+    folder = tempfile.mkdtemp(prefix="syndica-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(
+        os.path.join(folder, "syndica-package"), "zip", os.path.dirname(package),
+        os.path.basename(package),
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from syndica.functions.strings import text_or_empty
-from syndica.session import spread
+from syndica.session import ship_package, spread
 
 # Record elements and the children that hold metadata.
 RECORDS = frozenset(("item", "entry"))
@@ -65,6 +65,7 @@ def _records(body: str | None) -> Iterator[list[dict]]:
 def feed_records(docs: DataFrame, keep: Iterable[str] = ("page_id",), body_col: str = "html"
                  ) -> DataFrame:
     """One row per item or entry, in document order, with its metadata children."""
+    ship_package(docs.sparkSession)
     keep = list(keep)
     source = spread(docs.select(*keep, body_col))
 

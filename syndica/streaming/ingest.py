@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from syndica.operators.items import new_items
 from syndica.schemas import ITEM_COLUMNS, ITEMS
+from syndica.session import ship_package
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
@@ -61,6 +62,7 @@ def _thin(items: DataFrame, keys: list[str]) -> DataFrame:
             firsts = rows.group_by(keys).aggregate([("_row", "min")])["_row_min"]
             yield batch.take(firsts.combine_chunks().sort())
 
+    ship_package(items.sparkSession)
     return items.mapInArrow(run, items.schema)
 
 
