@@ -30,11 +30,14 @@ def _rows(columns, rows):
     return sorted(plain, key=lambda r: [(v is None, str(v)) for v in r])
 
 
+NAMES = sorted(importlib.import_module("workload.queries").QUERIES)
+
+
 def test_every_query_has_sql():
-    assert set(ENTRY.queries()) == set(ENTRY.oracle_sql())
+    assert set(NAMES) <= set(ENTRY.queries()) and set(NAMES) <= set(ENTRY.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(ENTRY.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, duck, name):
     df = ENTRY.queries()[name](spark, SF_DIR)
     got = _rows(df.columns, df.collect())
