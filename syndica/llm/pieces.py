@@ -57,10 +57,13 @@ class Memo(dict):
         value = self.old.get(piece)
         if value is None:
             value = self.compute(piece)
-            if len(piece) > 64:
-                return value
+        self.store(piece, value)
+        return value
+
+    def store(self, piece: str, value) -> None:
+        if len(piece) > 64:
+            return  # long pieces hardly come again
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[piece] = value
-        return value

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from syndica.llm import bpe, token_count
+from syndica.llm import bpe, packing, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,11 @@ def op6_token_counts(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_best_two_fit(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
