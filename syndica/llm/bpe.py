@@ -38,47 +38,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the lowest rank, and its leftmost position."""
+    """Positions by rank under a bitmap of three levels, of which the caller holds the outermost.
 
-    __slots__ = ("low", "mid", "top", "buckets")
+    A level has a bit for every word of the level below that is not zero, and the lowest a bit
+    for every bucket with positions; ``x & -x`` isolates the first bit set.
+    """
+
+    __slots__ = ("low", "mid", "buckets")
 
     def __init__(self, n_ranks: int):
         n = (n_ranks >> SHIFT) + 1
-        self.low = [0] * n  # a bit for every rank
-        self.mid = [0] * ((n >> SHIFT) + 1)  # a bit for every word of ``low``
-        self.top = 0  # a bit for every word of ``mid``
+        self.low, self.mid = [0] * n, [0] * ((n >> SHIFT) + 1)
         self.buckets: list[list[int] | None] = [None] * n_ranks
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, position: int) -> int:
+        """Adds a position and gives the bit that the outermost level needs."""
         bucket = self.buckets[rank]
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
         word = rank >> SHIFT
         group = word >> SHIFT
-        self.low[word] |= BIT[rank & MASK]
-        self.mid[group] |= BIT[word & MASK]
-        self.top |= BIT[group]
-
-    def pop(self) -> tuple[int, int]:
-        """Only while ``top`` is not zero."""
-        bits = self.top
-        group = (bits & -bits).bit_length() - 1
-        bits = self.mid[group]
-        word = (group << SHIFT) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << SHIFT) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        self.buckets[rank] = None
-        self.low[word] = bits & (bits - 1)
-        if not self.low[word]:
-            self.mid[group] ^= BIT[word & MASK]
-            if not self.mid[group]:
-                self.top ^= BIT[group]
-        return rank, bucket[0]
+        if bucket:
+            heappush(bucket, position)
+        else:
+            self.buckets[rank] = [position]
+            self.low[word] |= BIT[rank & MASK]
+            self.mid[group] |= BIT[word & MASK]
+        return BIT[group]
 
 
 class Codec:
@@ -100,7 +84,8 @@ class Codec:
             return [whole]
         n = len(word)
         get, queue = ranks.get, self.queue
-        push, pop = queue.push, queue.pop
+        low, mid, buckets = queue.low, queue.mid, queue.buckets
+        push, top = queue.push, 0  # the outermost level lives in a local, as pops are unrolled here
         after = list(range(1, n + 2))  # start of the next part; n at the end
         before = list(range(-1, n))
         # the rank for which a position waits, None if none
@@ -108,9 +93,27 @@ class Codec:
         wanted += (None, None)
         for i, rank in enumerate(wanted):
             if rank is not None:
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
+                if buckets[rank]:
+                    buckets[rank].append(i)  # rising, so still a heap
+                else:
+                    top |= push(rank, i)
+        while top:
+            group = (top & -top).bit_length() - 1
+            bits = mid[group]
+            w = (group << SHIFT) + (bits & -bits).bit_length() - 1
+            bits = low[w]
+            rank = (w << SHIFT) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                buckets[rank] = None
+                low[w] = bits = bits & (bits - 1)
+                if not bits:
+                    mid[group] = bits = mid[group] & (mid[group] - 1)
+                    if not bits:
+                        top &= top - 1
             if wanted[i] != rank:
                 continue  # stale
             j = after[i]
@@ -120,7 +123,7 @@ class Codec:
                 before[end] = i
                 new = wanted[i] = get(word[i:after[end]])
                 if new is not None:
-                    push(new, i)
+                    top |= push(new, i)
             else:
                 wanted[i] = None
             if i:
@@ -129,7 +132,7 @@ class Codec:
                 if new != wanted[h]:
                     wanted[h] = new
                     if new is not None:
-                        push(new, h)
+                        top |= push(new, h)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[word[i:after[i]]])
