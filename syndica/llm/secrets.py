@@ -1,0 +1,154 @@
+"""Secrets in texts: three patterns, and strings that a tokenizer cannot shorten.
+
+The patterns find assignments to telling names, access keys and long hexadecimal runs. The
+token-efficiency test adds the rest: ordinary words and names are in a tokenizer's vocabulary in
+large parts, random strings are not, so few characters per token under a general vocabulary give
+them away. It looks at runs of at least ``min_chars`` key characters that mix kinds of characters
+and touch no span of the patterns. Known digests (hexadecimal runs of a digest's length, UUIDs)
+and identifiers (all digits, or words and numbers joined by ``-``, ``_`` or ``/``) are left out.
+
+Positions are code points, ends exclusive. NULL counts as an empty text, which has no spans.
+Whole texts are searched whatever their length. Repeated rows give repeated results, an empty
+table an empty one, and other columns of the input are not looked at.
+"""
+
+from __future__ import annotations
+
+import base64
+import re
+from functools import lru_cache
+
+import public_tokenizers
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from syndica.llm.common import map_batches, pick
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
+BASE_KINDS = ("assign", "access", "hex")
+RANDOM = "random"
+MIN_CHARS = 16
+MAX_CHARS_PER_TOKEN = 2.0
+_LONGEST = 4096  # bytes tokenized at a time; ratios of longer runs are taken over all their parts
+
+_ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    re.ASCII | re.IGNORECASE)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # runs are maximal, so their length may be asked here
+_DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}"
+                     r"|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
+_JOINED = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/+=]+(?:[A-Za-z]+|[0-9]+))*[-_/+=]*\Z")
+
+Span = tuple[str, int, int]
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str):
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
+    return tiktoken.Encoding("efficiency", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                             special_tokens={})
+
+
+@lru_cache(maxsize=8)
+def _runs(min_chars: int) -> re.Pattern:
+    return re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{min_chars},}}")
+
+
+def base_spans(text: str) -> list[Span]:
+    """Matches of the three patterns, leftmost and without overlap within a kind."""
+    found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    found += [("hex", *m.span()) for m in _HEX.finditer(text)]
+    return found
+
+
+def is_known(run: str) -> bool:
+    """Whether a run is a digest or an identifier."""
+    return bool(_JOINED.match(run) or _DIGEST.match(run))
+
+
+def characters_per_token(run: str, encoding) -> float:
+    parts = (run[i:i + _LONGEST] for i in range(0, len(run), _LONGEST))
+    return len(run) / sum(len(encoding.encode_ordinary(p)) for p in parts)
+
+
+def random_spans(text: str, taken: list[Span], path: str, min_chars: int = MIN_CHARS,
+                 max_ratio: float = MAX_CHARS_PER_TOKEN) -> list[Span]:
+    """Runs that fail the token-efficiency test and overlap none of ``taken``."""
+    found, borders, at = [], sorted((s, e) for _, s, e in taken), 0
+    furthest = -1  # end of the spans that start before the run
+    for m in _runs(min_chars).finditer(text):
+        run = m.group()
+        start = m.start()
+        if run.isalpha() or is_known(run):
+            continue
+        end = start + len(run.rstrip("-_/+"))
+        if end - start < min_chars:
+            continue
+        while at < len(borders) and borders[at][0] < end:
+            furthest = max(furthest, borders[at][1])
+            at += 1
+        if furthest > start:
+            continue
+        if characters_per_token(text[start:end], tokenizer(path)) <= max_ratio:
+            found.append((RANDOM, start, end))
+    return found
+
+
+def in_order(spans: list[Span]) -> list[Span]:
+    """By start, then by kind as listed."""
+    order = {k: i for i, k in enumerate((*BASE_KINDS, RANDOM))}
+    return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))
+
+
+def redact(text: str, spans: list[Span], mark: str) -> str:
+    """``text`` with ``mark`` in place of every span; overlapping spans become one mark."""
+    out, at = [], 0
+    for _, start, end in in_order(spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def find_secrets(docs: DataFrame, min_chars: int = MIN_CHARS, max_ratio: float = MAX_CHARS_PER_TOKEN,
+                 path: str | None = None, mark: str | None = None,
+                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, spans array<struct<kind, start, end>>)`` in order, and the redacted text as
+    ``clean_text`` (NULL stays NULL) if a ``mark`` is given."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    docs = pick(docs, doc_id=doc_id, text=text)
+    schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
+              "spans array<struct<kind:string,start:int,end:int>>")
+    schema += ", clean_text string" if mark is not None else ""
+
+    def run(batch):
+        spans, cleaned = [], []
+        for t in batch["text"]:
+            found = base_spans(t) if t else []
+            found = in_order(found + random_spans(t, found, path, min_chars, max_ratio)) if t else []
+            spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
+            if mark is not None:
+                cleaned.append(redact(t, found, mark) if t and found else t)
+        return {"doc_id": batch["doc_id"], "spans": spans, "clean_text": cleaned}
+
+    return map_batches(docs, run, schema)
+
+
+def span_digests(found: DataFrame) -> DataFrame:
+    """Counts by kind, the digest of the patterns' spans, and all spans as text."""
+    def joined(spans):
+        return F.array_join(F.transform(
+            spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    base = F.filter("spans", lambda s: s["kind"] != RANDOM)
+    return found.select(
+        "doc_id", *[of(k).alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
