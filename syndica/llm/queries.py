@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from syndica.llm import bpe, packing, secrets, simhash, token_count
+from syndica.llm import bpe, packing, secret_scan, simhash, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +29,7 @@ def op1_simhash(spark, sf_dir):
 
 @query
 def op4_secrets(spark, sf_dir):
-    return secrets.span_digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+    return secret_scan.span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
 @query
