@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from syndica.llm import bpe, packing, secret_scan, simhash, token_count
+from syndica.llm import bpe, language, packing, quality, secret_scan, simhash, token_count
+from syndica.llm.common import crc_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +29,18 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def held_out(of: int, rest: int):
+    """Whether a document is left out of learning; a NULL id is not, as it has no label."""
+    return F.coalesce(crc_of(F.col("doc_id")) % of == rest, F.lit(False))
+
+
+@query
+def op3_quality(spark, sf_dir):
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(3, 1))
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op4_secrets(spark, sf_dir):
     return secret_scan.span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
@@ -42,6 +56,13 @@ def op7_best_two_fit(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs, ~held_out(4, 2)))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
