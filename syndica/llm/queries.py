@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syndica.llm import bpe, language, packing, quality, secret_scan, simhash, token_count
+from syndica.llm import bpe, caps, language, packing, quality, secret_scan, simhash, token_count
 from syndica.llm.common import crc_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def op4_secrets(spark, sf_dir):
     return secret_scan.span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+@query
+def op5_cap_filters(spark, sf_dir):
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_token_counts(spark, sf_dir):
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
