@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syndica.llm import bpe, caps, language, packing, quality, secret_scan, simhash, token_count
+from syndica.llm import bpe, caps, language, packing, quality, secret_scan, simhash, token_count, topk
 from syndica.llm.common import crc_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_top_inner_products(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def held_out(of: int, rest: int):
     """Whether a document is left out of learning; a NULL id is not, as it has no label."""
     return F.coalesce(crc_of(F.col("doc_id")) % of == rest, F.lit(False))
