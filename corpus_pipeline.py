@@ -1,13 +1,74 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over all that its predecessor kept, and is
+written before the next one reads it. Rows with a NULL id go through all stages: they are scored,
+never count as copies, keep their passages, lose their secrets and are packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from syndica.llm import packing, passages, quality, secret_scan, simhash
+from syndica.llm.common import crc_of
+from syndica.session import join_measured, materialize
+
+MARK = "[SECRET]"
+
+
+def _with_text(docs: DataFrame, text) -> DataFrame:
+    """``docs`` with another text, and its length where the table tells it."""
+    changed = docs.withColumn("text", text)
+    return changed.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else changed
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = materialize(quality.document_statistics(docs), "statistics")
+    learn = F.coalesce(crc_of(F.col("doc_id")) % 3 != 1, F.lit(False))
+    model = quality.fit(rows, labels, learn)
+    return docs.where(quality.score_of(F.col("text"), model) >= 0.5)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    found = simhash.near_duplicates(docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return join_measured(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that an earlier one has."""
+    return _with_text(passages.remove_repeats(docs), F.col("text"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of every secret."""
+    return _with_text(docs, secret_scan.redacted(F.col("text"), MARK))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("SimHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("secret scans", secrets),
+    ("best-fit packing", pack),
+]
 ORACLE_SQL = None  # a fitted classifier and hashing stages have no SQL form; tests use brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``, each written and read again before the next."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{number}")
+    return docs

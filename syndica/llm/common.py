@@ -96,3 +96,49 @@ def _small_star(links: DataFrame) -> DataFrame:
     moved = links.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
         least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def meet_in_chunks(entries: DataFrame, key: str, member: str, max_list: int) -> DataFrame:
+    """Rows of ``entries`` dealt so that every two members of a ``key`` meet in one run of rows
+    with equal ``(key, i, j)``; lists longer than ``max_list`` are cut into chunks, of which
+    every two (and each with itself) make a run. ``own`` is the row's chunk. Keys with one row are left out.
+    """
+    counts = entries.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
+        F.col(key).alias("_key"), F.ceil(F.col("_n") / max_list).cast("int").alias("_chunks"))
+    listed = entries.join(counts, F.col(key) == F.col("_key")).withColumn(
+        "own", F.pmod(F.xxhash64(member), F.col("_chunks")).cast("int"))
+    listed = listed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select(
+        *entries.columns, "own", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"))
+    return listed.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", member)
+
+
+def runs_of(batches, keys: tuple[str, ...]):
+    """Lists of rows with equal ``keys`` out of sorted pandas batches, none cut by a batch's end;
+    one list of runs per batch."""
+    from itertools import groupby
+    from operator import attrgetter
+
+    held: list = []
+    for frame in batches:
+        rows = held + list(frame.itertuples(index=False))
+        whole = [list(g) for _, g in groupby(rows, key=attrgetter(*keys))]
+        held = whole.pop() if whole else []
+        yield whole
+    yield [held] if held else []
+
+
+def smallest_reached(n: int, pairs) -> list[int]:
+    """Smallest index that each of ``n`` reaches by ``pairs`` of indexes (union-find)."""
+    up = list(range(n))
+
+    def top(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, j in pairs:
+        i, j = top(i), top(j)
+        if i != j:
+            up[max(i, j)] = min(i, j)
+    return [top(i) for i in range(n)]

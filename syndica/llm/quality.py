@@ -188,6 +188,18 @@ def fit(statistics_: DataFrame, labels: DataFrame, learn: Column, label: str = "
     return model
 
 
+def score_of(text: Column, model: Model | None) -> Column:
+    """The score of a text column, for filters that should not move the texts."""
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        if model is None or not len(texts):
+            return pd.Series(np.full(len(texts), 0.5))
+        rows = np.array([statistics(t or "") for t in texts], np.float32)
+        return pd.Series(model.score(rows.astype(np.float64)))
+
+    return score(text)
+
+
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality",
              doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``(doc_id, score)`` of every row of ``docs``; labels are learned where ``learn`` holds."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syndica.llm import bpe, caps, language, packing, quality, secret_scan, simhash, token_count, topk
+from syndica.llm import bpe, caps, language, packing, passages, quality, secret_scan, simhash, token_count, topk
 from syndica.llm.common import crc_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,13 @@ def op8_language(spark, sf_dir):
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op9_repeated_passages(spark, sf_dir):
+    """One row per repeat; documents without one have none."""
+    found = passages.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "words", "kept", "clusters", "first_doc")
+
+
 @query
 def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))

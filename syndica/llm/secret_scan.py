@@ -18,8 +18,9 @@ import base64
 import re
 from functools import lru_cache
 
+import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syndica.llm.common import map_batches, pick
@@ -115,26 +116,41 @@ def redact(text: str, spans: list[Span], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def redacted(text: Column, mark: str, min_chars: int = MIN_CHARS, max_ratio: float = MAX_CHARS_PER_TOKEN,
+             path: str | None = None) -> Column:
+    """A text column with ``mark`` in place of every span; NULL stays NULL."""
+    path = path or public_tokenizers.path(VOCABULARY)
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            if t:
+                found = base_spans(t)
+                found += random_spans(t, found, path, min_chars, max_ratio)
+                t = redact(t, found, mark) if found else t
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    return clean(text)
+
+
 def find_secrets(docs: DataFrame, min_chars: int = MIN_CHARS, max_ratio: float = MAX_CHARS_PER_TOKEN,
-                 path: str | None = None, mark: str | None = None,
-                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    XX: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, spans array<struct<kind, start, end>>)`` in order, and the redacted text as
     ``clean_text`` (NULL stays NULL) if a ``mark`` is given."""
     path = path or public_tokenizers.path(VOCABULARY)
     docs = pick(docs, doc_id=doc_id, text=text)
     schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
               "spans array<struct<kind:string,start:int,end:int>>")
-    schema += ", clean_text string" if mark is not None else ""
 
     def run(batch):
-        spans, cleaned = [], []
+        spans = []
         for t in batch["text"]:
             found = base_spans(t) if t else []
             found = in_order(found + random_spans(t, found, path, min_chars, max_ratio)) if t else []
             spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-            if mark is not None:
-                cleaned.append(redact(t, found, mark) if t and found else t)
-        return {"doc_id": batch["doc_id"], "spans": spans, "clean_text": cleaned}
+        return {"doc_id": batch["doc_id"], "spans": spans}
 
     return map_batches(docs, run, schema)
 
