@@ -17,7 +17,7 @@ _SPLIT = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]
 # Schemes whose references resolve against a base.
 RELATIVE_SCHEMES = [
     "file", "ftp", "gopher", "http", "https", "imap", "mms", "nntp", "prospero", "rtsp",
-    "rtspu", "sftp", "shttp", "svn", "svn+ssh", "wais", "ws", "wss",
+    "rtsps", "rtspu", "sftp", "shttp", "svn", "svn+ssh", "wais", "ws", "wss",
 ]
 
 

@@ -74,20 +74,22 @@ def feed_state_asof(log: DataFrame, requests: DataFrame, ttl_s: int = TTL_S,
 
 
 def last_good(results: DataFrame, content: str = "content") -> DataFrame:
-    """Last successful content per feed with its own time, stale after a later failure (T4)."""
-    ok_at, fail_at = _ok_at(), _fail_at()
-    return (
+    """Last successful content per feed with its own time, stale after a later failure (T4).
+
+    The winning time is found on narrow rows; content is joined to it and neither sorted nor
+    aggregated. ``(feed_key, at)`` is the key of a result.
+    """
+    times = (
         results.groupBy("feed_key")
-        .agg(
-            F.max_by(F.when(F.col("ok"), F.col(content)), ok_at).alias(content),
-            F.max(ok_at).alias("generated_at"),
-            F.max(fail_at).alias("_fail"),
-        )
+        .agg(F.max(_ok_at()).alias("generated_at"), F.max(_fail_at()).alias("_fail"))
         .filter(F.col("generated_at").isNotNull())
-        .withColumn(
-            "is_stale", F.coalesce(F.col("_fail") > F.col("generated_at"), F.lit(False))
-        )
-        .drop("_fail")
+    )
+    good = results.filter("ok").select(
+        F.col("feed_key").alias("_feed"), F.col("at").alias("_at"), content)
+    same = (F.col("feed_key") == F.col("_feed")) & (F.col("generated_at") == F.col("_at"))
+    return times.join(good, same).select(
+        "feed_key", content, "generated_at",
+        F.coalesce(F.col("_fail") > F.col("generated_at"), F.lit(False)).alias("is_stale"),
     )
 
 

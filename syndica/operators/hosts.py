@@ -65,10 +65,16 @@ def request_spacing(fetch_log: DataFrame, min_interval_s: int = MIN_INTERVAL_S,
 
 
 def enumerate_pages(sources: DataFrame, template: str = "source_url",
-                    limit: Column | int = 200) -> DataFrame:
-    """Page URLs ``1..limit`` of a template holding ``{page}``."""
-    limit = F.lit(limit) if isinstance(limit, int) else limit
-    numbered = sources.withColumn("_limit", limit.cast("int")).filter(F.col("_limit") > 0)
+                    *, limit: Column | int) -> DataFrame:
+    """Page URLs ``1..limit`` of a template holding ``{page}``.
+
+    Where no limit is meant (NULL, 0 or less) there is nothing to enumerate to, and the query
+    fails instead of giving no page; bound such sources by what is known of them.
+    """
+    limit = (F.lit(limit) if isinstance(limit, int) else limit).cast("int")
+    bounded = F.when(limit > 0, limit).otherwise(
+        F.raise_error(F.lit("enumerate_pages: a source has no page limit")).cast("int"))
+    numbered = sources.withColumn("_limit", bounded)
     return (
         numbered.withColumn("page_seq", F.explode(F.sequence(F.lit(1), F.col("_limit"))))
         .withColumn(

@@ -11,6 +11,11 @@ from syndica.session import materialize
 LISTING_ORDER = ["page_seq", "pos"]
 
 
+def listing_order(items: DataFrame) -> list[str]:
+    """Listing order of a table: captures of one page follow each other by ``page_id``."""
+    return [*LISTING_ORDER, *[c for c in ("page_id",) if c in items.columns]]
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The earliest row of each key.
 
@@ -87,23 +92,32 @@ def merge_feeds(items: DataFrame, members: DataFrame, max_items: int | None = No
     joined = items.withColumnRenamed("feed_key", "child_key").join(
         members, "child_key"
     ).drop("child_key").withColumnRenamed("aggregate_key", "feed_key")
-    ties = ["child_ord", *LISTING_ORDER]
+    ties = ["child_ord", *listing_order(items)]
     merged = keep_first(joined, ["feed_key", "guid"], ties)
     if max_items is None:
         return merged
     return top_n(merged, ["feed_key"], newest_first(*ties, "guid"), max_items)
 
 
-def members_by_route(sources: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+def members_by_route(sources: DataFrame, prefixes: dict[str, str],
+                     critical_keys: list[str] | None = None) -> DataFrame:
     """Members of each aggregate: the sources below a route prefix, in route order.
 
-    ``child_ord`` is the route itself, which sorts as wanted and needs no numbering.
+    ``child_ord`` is the route itself, which sorts as wanted and needs no numbering. With
+    ``critical_keys`` (which may be empty) the order is that of a static build instead: critical
+    sources first, then catalogue order; the copy of a guid that comes first is kept.
     """
+    order = F.col("route")
+    if critical_keys is not None:
+        order = F.concat(
+            F.when(F.col("key").isin(critical_keys), "0").otherwise("1"),
+            F.lpad(F.col("source_ord").cast("string"), 20, "0"),
+        )
     branches = [
         sources.filter(F.startswith("route", F.lit(prefix))).select(
             F.lit(aggregate).alias("aggregate_key"),
             F.col("key").alias("child_key"),
-            F.col("route").alias("child_ord"),
+            order.alias("child_ord"),
         )
         for aggregate, prefix in prefixes.items()
     ]
@@ -113,48 +127,86 @@ def members_by_route(sources: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     return out
 
 
-def new_items(items: DataFrame, published: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def new_items(items: DataFrame, published: DataFrame, keys: list[str] | None = None,
+              published_once: bool = False) -> DataFrame:
     """Items whose key is not published yet (J5, U5), first occurrence only.
 
     Both sides are reduced to one row per key before the anti join, so that copies of a key
-    cannot pile up in one task.
+    cannot pile up in one task; ``published_once`` says that the history has no copies.
     """
     keys = keys or ["feed_key", "guid"]
-    firsts = keep_first(items, keys, LISTING_ORDER)
-    return firsts.join(published.select(*keys).distinct(), keys, "left_anti")
+    firsts = keep_first(items, keys, listing_order(items))
+    known = published.select(*keys)
+    return firsts.join(known if published_once else known.distinct(), keys, "left_anti")
 
 
-def page_cutoff(items: DataFrame, empty_pages: int, max_pages: int | None = None) -> DataFrame:
+def page_cutoff(items: DataFrame, empty_pages: Column | int | None,
+                max_pages: Column | int | None = None) -> DataFrame:
     """Items up to the point where a paged listing stops giving unseen keys.
 
-    Reading stops once ``empty_pages`` pages in a row add no new key, or after ``max_pages``;
-    pages that are missing count as empty. Each item appears once, on its first page.
+    Reading stops once ``empty_pages`` pages in a row add no new key, or after ``max_pages``.
+    Both may be columns with one value per feed: NULL ``empty_pages`` reads all pages (0 counts
+    as 1), NULL or 0 ``max_pages`` sets no bound. Each item appears once, on its first page;
+    items whose page has no positive number stand before page 1 and are always read. Pages
+    without items count as empty; ``missing_pages`` tells those that never landed.
 
     A page is the last one read when it brings something new (or is the start, page 0) and
     none of the next ``empty_pages`` pages does. That is an anti join on (feed, page) and a
     minimum per feed: no window over all pages of a feed.
     """
-    pages = items.filter(F.col("page_seq") >= 1)
-    if max_pages:
-        pages = pages.filter(F.col("page_seq") <= max_pages)
-    firsts = materialize(keep_first(pages, ["feed_key", "guid"], LISTING_ORDER), "first-seen")
-
-    fresh = firsts.select("feed_key", "page_seq").distinct()
-    begin = fresh.select("feed_key", F.lit(0).cast("int").alias("page_seq")).distinct()
-    followed = fresh.select(
-        "feed_key",
-        F.explode(F.array(*[(F.col("page_seq") - i).cast("int")
-                            for i in range(1, empty_pages + 1)])).alias("page_seq"),
+    firsts = materialize(_first_pages(items, empty_pages, max_pages), "first-seen")
+    read = firsts.join(_last_pages(firsts), "feed_key").filter(
+        F.col("_rule").isNull() | (F.col("_page") <= F.col("_last_page"))
+    )
+    return read.select(*items.columns)
+
+
+def _first_pages(items: DataFrame, empty_pages: Column | int | None,
+                 max_pages: Column | int | None) -> DataFrame:
+    """Each item on its first page, with that page's number and the feed's rule."""
+    rule, most = (v if isinstance(v, Column) else F.lit(v) for v in (empty_pages, max_pages))
+    numbered = items.select(
+        *items.columns,
+        F.greatest(F.coalesce("page_seq", F.lit(0)), F.lit(0)).cast("int").alias("_page"),
+        F.greatest(rule.cast("int"), F.when(rule.isNotNull(), 1)).alias("_rule"),
+        F.nullif(most.cast("int"), F.lit(0)).alias("_most"),
+    ).filter("_most IS NULL OR _page <= _most")
+    return keep_first(numbered.drop("_most"), ["feed_key", "guid"], ["_page", *listing_order(items)])
+
+
+def _last_pages(firsts: DataFrame) -> DataFrame:
+    """The last page with something new that is read, per feed."""
+    fresh = firsts.select("feed_key", F.col("_page").alias("page"), "_rule").distinct()
+    begin = fresh.select("feed_key", F.lit(0).alias("page"), "_rule").distinct()
+    followed = fresh.filter("_rule IS NOT NULL").select(
+        "feed_key", F.explode(F.sequence(F.col("page") - F.col("_rule"), F.col("page") - 1)).alias("page")
     ).distinct()
-    last = (
+    return (
         fresh.unionByName(begin)
-        .join(followed, ["feed_key", "page_seq"], "left_anti")
+        .join(followed, ["feed_key", "page"], "left_anti")
         .groupBy("feed_key")
-        .agg(F.min("page_seq").alias("_last_page"))
+        .agg(F.min("page").alias("_last_page"))
     )
-    return firsts.join(last, "feed_key").filter(
-        F.col("page_seq") <= F.col("_last_page")
-    ).drop("_last_page")
+
+
+def missing_pages(items: DataFrame, landed: DataFrame, empty_pages: Column | int | None,
+                  max_pages: Column | int | None = None) -> DataFrame:
+    """Feeds whose reading met a page that never landed: ``(feed_key, page_seq)``, the first one.
+
+    ``landed(feed_key, page_seq)`` holds every page that was fetched, also those without items.
+    A page counts as met if reading would not have stopped before it and a later one landed.
+    """
+    firsts = materialize(_first_pages(items, empty_pages, max_pages), "first-seen")
+    pages = landed.filter("page_seq >= 1").select("feed_key", "page_seq").distinct()
+    after = pages.select("feed_key", (F.col("page_seq") + 1).alias("page_seq"))
+    ends = pages.groupBy("feed_key").agg(F.max("page_seq").alias("_end"))
+    starts = pages.select("feed_key", F.lit(1).alias("page_seq")).distinct()
+    gaps = after.unionByName(starts).join(pages, ["feed_key", "page_seq"], "left_anti").join(
+        ends, "feed_key").filter("page_seq < _end")
+    rules = firsts.groupBy("feed_key").agg(F.max("_rule").alias("_rule")).join(_last_pages(firsts), "feed_key")
+    return gaps.join(rules, "feed_key").filter(
+        "_rule IS NULL OR page_seq <= _last_page + _rule"
+    ).groupBy("feed_key").agg(F.min("page_seq").alias("page_seq"))
 
 
 def left_biased(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -201,16 +253,20 @@ def retry_outcome(attempts: DataFrame, critical_keys: list[str] | None = None,
         F.col("feed_key").isin(critical_keys or []), F.lit(critical_tries)
     ).otherwise(F.lit(default_tries))
     good = F.col("ok")
-    return (
+    outcome = (
         attempts.filter(F.col("attempt") <= allowed)
         .groupBy("feed_key")
         .agg(
             F.bool_or("ok").alias("ok"),
-            F.coalesce(
-                F.min(F.when(good, F.col("attempt"))), F.max("attempt")
-            ).alias("attempts_used"),
-            F.min_by(F.when(good, F.col("body")), F.when(good, F.col("attempt"))).alias("body"),
+            F.min(F.when(good, F.col("attempt"))).alias("_won"),
+            F.max("attempt").alias("_last"),
             F.max_by("error_type", F.when(~good, F.col("attempt"))).alias("last_error"),
         )
-        .withColumn("last_error", F.when(~F.col("ok"), F.col("last_error")))
+    )
+    bodies = attempts.filter("ok").select(
+        F.col("feed_key").alias("_feed"), F.col("attempt").alias("_attempt"), "body")
+    won = (F.col("feed_key") == F.col("_feed")) & (F.col("_won") == F.col("_attempt"))
+    return outcome.join(bodies, won, "left").select(
+        "feed_key", "ok", F.coalesce("_won", "_last").alias("attempts_used"), "body",
+        F.when(~F.col("ok"), F.col("last_error")).alias("last_error"),
     )

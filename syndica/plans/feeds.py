@@ -15,7 +15,7 @@ from syndica.sources.feedxml import child_href, child_text, feed_records, nested
 from syndica.sources.jsonlist import json_elements, member
 
 
-def extract_feed_items(docs: DataFrame, max_items: int | None = 100, prefix: str = "rss"
+def extract_feed_items(docs: DataFrame, max_items: int | None = None, prefix: str = "rss"
                        ) -> DataFrame:
     """Items of RSS or Atom documents; each field is the first non-empty of its fallbacks."""
     if max_items is not None and max_items <= 0:
@@ -47,7 +47,7 @@ def extract_feed_items(docs: DataFrame, max_items: int | None = 100, prefix: str
     return finish_items(items, max_items)
 
 
-def extract_json_items(docs: DataFrame, max_items: int | None = 100, prefix: str = "mzt",
+def extract_json_items(docs: DataFrame, max_items: int | None = None, prefix: str = "mzt",
                        default_origin: str | None = None) -> DataFrame:
     """Items of JSON list documents ``{"items": [{id, title, created_at, updated_at}]}``."""
     if max_items is not None and max_items <= 0:

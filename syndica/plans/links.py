@@ -36,7 +36,7 @@ def supported_selector(selector: Column) -> Column:
     return selector.rlike(r"^\s*$|^[\w\-]*(\.[\w\-]+)*(\s*,\s*[\w\-]*(\.[\w\-]+)*)*$")
 
 
-def extract_links(pages: DataFrame, max_items: int | None = 100, prefix: str = "gallery"
+def extract_links(pages: DataFrame, max_items: int | None = None, prefix: str = "gallery"
                   ) -> DataFrame:
     """Titled anchors of each page, keep-first by absolute link.
 

@@ -53,7 +53,7 @@ def in_section(href: Column, section: Column) -> Column:
     return section.isNull() | F.coalesce(expected, F.lit(False))
 
 
-def extract_listing_a(pages: DataFrame, max_items: int | None = 100,
+def extract_listing_a(pages: DataFrame, max_items: int | None = None,
                       images_only: bool = False) -> DataFrame:
     """Rows ``tr.tr3.t_one.tac``: anchor, author and time of the third cell."""
     if max_items is not None and max_items <= 0:
@@ -126,7 +126,7 @@ def extract_listing_a(pages: DataFrame, max_items: int | None = 100,
     return finish_items(items, max_items)
 
 
-def extract_listing_b(pages: DataFrame, max_items: int | None = 100, images_only: bool = False,
+def extract_listing_b(pages: DataFrame, max_items: int | None = None, images_only: bool = False,
                       prefix: str = "forum-b") -> DataFrame:
     """Rows ``tbody[id^=normalthread_]`` of a section page, sticky rows excluded."""
     if max_items is not None and max_items <= 0:
@@ -186,7 +186,7 @@ def extract_listing_b(pages: DataFrame, max_items: int | None = 100, images_only
     return finish_items(items, max_items)
 
 
-def extract_highlights(pages: DataFrame, max_items: int | None = 100,
+def extract_highlights(pages: DataFrame, max_items: int | None = None,
                        prefix: str = "forum-b:home") -> DataFrame:
     """Links of the titled blocks of a home page, first block first.
 

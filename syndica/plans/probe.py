@@ -12,10 +12,9 @@ from syndica.operators.hosts import last_page_per_host
 from syndica.operators.htmltree import attr, html_nodes, raw_attr
 from syndica.sources.pages import decode_body
 
-# Limits of a probe, and the site generators it knows, in order.
-BODY_CAP_BYTES = 2 * 1024 * 1024
-TITLE_CHARS = 120
-MAX_FEEDS = 8
+# The usual limits of a probe, for callers that want them, and the site
+# generators it knows, in order.
+LIMITS = {"body_bytes": 2 * 1024 * 1024, "title_chars": 120, "max_feeds": 8}
 GENERATORS = ["wordpress", "xenforo", "discuz", "phpbb", "typecho"]
 FEED_TYPE = r"(?i)application/(?:rss|atom)\+xml|text/xml"
 _LINK_TARGET = r"(?U)\]\((https?://[^)\s]+)\)"
@@ -35,10 +34,10 @@ def extract_urls(docs: DataFrame, text_col: str = "text", keep: str = "doc_id")
     return docs.select(keep, F.posexplode(urls).alias("pos", "url"))
 
 
-def page_title(html: Column) -> Column:
-    """First title element's raw text on one line, cut to the report's width."""
-    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.substring(collapse_space(raw), 1, TITLE_CHARS)
+def page_title(html: Column, max_chars: int | None = None) -> Column:
+    """First title element's raw text on one line, cut to ``max_chars`` if given."""
+    raw = collapse_space(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return raw if max_chars is None else F.substring(raw, 1, max_chars)
 
 
 def site_generator(html: Column, path: Column) -> Column:
@@ -54,7 +53,7 @@ def site_generator(html: Column, path: Column) -> Column:
     )
 
 
-def declared_feeds(pages: DataFrame, keep: list[str], max_feeds: int = MAX_FEEDS) -> DataFrame:
+def declared_feeds(pages: DataFrame, keep: list[str], max_feeds: int | None = None) -> DataFrame:
     """Every page with the feed URLs it declares: absolute, distinct, in order.
 
     ``keep`` holds the page's key and whatever else should survive; the base address is
@@ -73,19 +72,22 @@ def declared_feeds(pages: DataFrame, keep: list[str], max_feeds: int = MAX_FEEDS
         & F.coalesce(raw_attr("type"), F.lit("")).rlike(FEED_TYPE)
         & (attr("href") != "")
     )
+    found = F.array_distinct(F.col("links.href"))
     link = F.struct("node_id", resolve_url(F.col("url"), attr("href")).alias("href"))
     return nodes.groupBy(*keep, "url").agg(
         F.array_sort(F.collect_list(F.when(declared, link))).alias("links")
     ).select(
         *keep, "url",
-        F.slice(F.array_distinct(F.col("links.href")), 1, max_feeds).alias("feeds"),
+        (found if max_feeds is None else F.slice(found, 1, max_feeds)).alias("feeds"),
     )
 
 
-def probe_pages(responses: DataFrame) -> DataFrame:
+def probe_pages(responses: DataFrame, body_bytes: int | None = None,
+                title_chars: int | None = None, max_feeds: int | None = None) -> DataFrame:
     """Probe result per landed response.
 
     A response that is no HTML is fine but tells nothing; status 400 and above is an error.
+    Nothing is cut unless a limit is given; ``LIMITS`` holds the usual ones.
     """
     failed = F.coalesce(F.col("error") != "", F.lit(False))
     refused = ~failed & (F.col("status") >= 400)
@@ -98,10 +100,10 @@ def probe_pages(responses: DataFrame) -> DataFrame:
         "status",
         ok.alias("ok"),
         F.when(failed, F.col("error")).when(refused, "HTTPError").otherwise("").alias("error"),
-        F.when(is_html, decode_body(F.col("body"), BODY_CAP_BYTES)).alias("html"),
+        F.when(is_html, decode_body(F.col("body"), body_bytes)).alias("html"),
     )
     described = base.withColumn(
-        "title", F.coalesce(page_title(F.col("html")), F.lit(""))
+        "title", F.coalesce(page_title(F.col("html"), title_chars), F.lit(""))
     ).withColumn(
         "generator",
         F.when(
@@ -109,7 +111,7 @@ def probe_pages(responses: DataFrame) -> DataFrame:
         ).otherwise("unknown"),
     )
     kept = ["input_ord", "asked_url", "ok", "status", "error", "title", "generator"]
-    return declared_feeds(described, kept).withColumnRenamed("url", "final_url").withColumnRenamed(
+    return declared_feeds(described, kept, max_feeds).withColumnRenamed("url", "final_url").withColumnRenamed(
         "asked_url", "url"
     )
 

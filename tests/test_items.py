@@ -168,5 +168,22 @@ def test_crawl_slots_put_critical_sources_first(spark):
 
 def test_enumerate_pages(spark):
     df = spark.createDataFrame([("a", "http://h/?p={page}", 2), ("b", "http://o/?p={page}", 0)], "key string, source_url string, n int")
-    got = hosts.enumerate_pages(df, limit=F.col("n"))
+    got = hosts.enumerate_pages(df.filter("n > 0"), limit=F.col("n"))
     assert [(r.key, r.page_url) for r in got.orderBy("page_seq").collect()] == [("a", "http://h/?p=1"), ("a", "http://h/?p=2")]
+    with pytest.raises(Exception, match="no page limit"):
+        hosts.enumerate_pages(df, limit=F.col("n")).collect()
+
+
+def test_rules_of_sources_and_pages_that_never_landed(spark):
+    rows = [(f, g, "t", None, page, 0) for f in ("one", "two", "all") for g, page in (("a", 1), ("b", 3), ("c", 6))]
+    rows.append(("two", "z", "t", None, 0, 0))
+    found = _items(spark, rows)
+    rule = F.expr("CASE feed_key WHEN 'one' THEN 1 WHEN 'two' THEN 2 END")
+    got = sorted((r.feed_key, r.guid) for r in items.page_cutoff(found, rule).collect())
+    assert got == [("all", "a"), ("all", "b"), ("all", "c"), ("one", "a"), ("two", "a"), ("two", "b"), ("two", "z")]
+    landed = spark.createDataFrame([(f, p) for f in ("one", "two", "all") for p in (1, 3, 6)], "feed_key string, page_seq int")
+    gone = {r.feed_key: r.page_seq for r in items.missing_pages(found, landed, rule).collect()}
+    assert gone == {"one": 2, "two": 2, "all": 2}
+    whole = landed.unionByName(spark.createDataFrame([(f, 2) for f in ("one", "two", "all")], "feed_key string, page_seq int"))
+    gone = {r.feed_key: r.page_seq for r in items.missing_pages(found, whole, rule).collect()}
+    assert gone == {"two": 4, "all": 4}

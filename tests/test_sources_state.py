@@ -67,7 +67,9 @@ def test_probe_pages(spark):
         (3, "http://d.example/", None, None, None, None, "ConnectTimeout"),
         (4, "http://e.example/Discuz/", 200, None, "text/html; x", bytearray(many.encode()), ""),
     ]
-    probes = probe.probe_pages(spark.createDataFrame(rows, RESPONSES))
+    probes = probe.probe_pages(spark.createDataFrame(rows, RESPONSES), **probe.LIMITS)
+    uncut = probe.probe_pages(spark.createDataFrame(rows, RESPONSES)).filter("input_ord = 4").first()
+    assert len(uncut.feeds) == 12
     got = {r.input_ord: r for r in probes.collect()}
     assert (got[0].title, got[0].feeds, got[0].generator, got[0].ok) == (
         "My &amp; site", ["http://a.example/f", "http://a.example/q/g"], "xenforo", True)

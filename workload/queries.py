@@ -599,36 +599,81 @@ def top_n_per_feed(spark, sf_dir):
 
 
 _CUTOFF = """
-WITH e AS (SELECT l_shipdate::DATE AS d, l_returnflag AS feed_key, l_suppkey AS guid,
-                  l_orderkey // 200 + 1 AS page, l_orderkey, l_linenumber FROM lineitem),
-     firsts AS (SELECT feed_key, guid, min(page) AS page FROM e WHERE page <= {cap} GROUP BY ALL),
+WITH p AS (SELECT l_returnflag || l_linestatus AS feed_key, l_orderkey // 100 + 1 AS page FROM lineitem),
+     e AS (SELECT feed_key, page, CASE WHEN page % 16 IN (1, 2, 4, 7, 11) THEN page ELSE 1 END AS guid FROM p),
+     r AS (SELECT DISTINCT feed_key, {k} AS k, {cap} AS cap FROM p),
+     firsts AS (SELECT feed_key, guid, min(page) AS page FROM e JOIN r USING (feed_key)
+                WHERE cap IS NULL OR page <= cap GROUP BY ALL),
      fresh AS (SELECT DISTINCT feed_key, page FROM firsts),
      gaps AS (SELECT feed_key, page, page - lag(page, 1, 0) OVER (PARTITION BY feed_key ORDER BY page) AS step FROM fresh),
-     stops AS (SELECT feed_key, min(page) AS stop FROM gaps WHERE step > {k} GROUP BY 1)
+     stops AS (SELECT feed_key, min(page) AS stop FROM gaps JOIN r USING (feed_key) WHERE step > k GROUP BY 1)
 SELECT f.feed_key, 'g' || f.guid AS guid, CAST(f.page AS INTEGER) AS page_seq
 FROM firsts f LEFT JOIN stops s USING (feed_key) WHERE s.stop IS NULL OR f.page < s.stop
 """
+# every rule that a source may have, and a page bound for one of them
+_RULES = "CASE feed_key WHEN 'AF' THEN 1 WHEN 'NF' THEN 2 WHEN 'RF' THEN 3 END"
+_BOUND = "CASE feed_key WHEN 'NO' THEN 9 WHEN 'RF' THEN 0 END"
 
 
 def _paged_items(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("feed_key"),
-        F.concat(F.lit("g"), "l_suppkey").alias("guid"),
-        F.expr("cast(l_orderkey div 200 + 1 AS int)").alias("page_seq"),
-        F.expr("cast(l_orderkey % 200 * 10 + l_linenumber AS int)").alias("pos"),
-    )
+    """Pages that bring something new with gaps of one, two, three and more pages between them."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat(l_returnflag, l_linestatus) AS feed_key",
+        "cast(l_orderkey div 100 + 1 AS int) AS page_seq",
+        "cast(l_orderkey % 100 * 10 + l_linenumber AS int) AS pos",
+    ).withColumn("guid", F.expr(
+        "concat('g', if(page_seq % 16 IN (1, 2, 4, 7, 11), page_seq, 1))"))
+
 
+def _cutoff(spark, sf_dir, empty_pages, max_pages=None):
+    found = items.page_cutoff(_paged_items(spark, sf_dir), empty_pages, max_pages)
+    return found.select("feed_key", "guid", "page_seq")
 
-@query("page_cutoff_k1", _CUTOFF.format(k=1, cap=10**9))
+
+@query("page_cutoff_k1", _CUTOFF.format(k=1, cap="NULL"))
 def page_cutoff_k1(spark, sf_dir):
-    return items.page_cutoff(_paged_items(spark, sf_dir), 1).select("feed_key", "guid", "page_seq")
+    return _cutoff(spark, sf_dir, 1)
 
 
 @query("page_cutoff_k2", _CUTOFF.format(k=2, cap=200))
 def page_cutoff_k2(spark, sf_dir):
-    return items.page_cutoff(_paged_items(spark, sf_dir), 2, 200).select(
-        "feed_key", "guid", "page_seq"
-    )
+    return _cutoff(spark, sf_dir, 2, 200)
+
+
+@query("page_cutoff_k3", _CUTOFF.format(k=3, cap="NULL"))
+def page_cutoff_k3(spark, sf_dir):
+    return _cutoff(spark, sf_dir, 3)
+
+
+@query("page_cutoff_none", _CUTOFF.format(k="CAST(NULL AS INTEGER)", cap="NULL"))
+def page_cutoff_none(spark, sf_dir):
+    return _cutoff(spark, sf_dir, None)
+
+
+@query("page_cutoff_rules", _CUTOFF.format(k=_RULES, cap=f"NULLIF({_BOUND}, 0)"))
+def page_cutoff_rules(spark, sf_dir):
+    """Sources with different rules in one pass."""
+    return _cutoff(spark, sf_dir, F.expr(_RULES), F.expr(_BOUND))
+
+
+@query("missing_pages", """
+WITH p AS (SELECT DISTINCT l_returnflag || l_linestatus AS feed_key, l_orderkey // 100 + 1 AS page FROM lineitem),
+     landed AS (SELECT * FROM p WHERE page % 16 <> 4 AND page % 16 <> 6),
+     f AS (SELECT DISTINCT feed_key, CASE feed_key WHEN 'AF' THEN 1 WHEN 'NF' THEN 2 WHEN 'RF' THEN 3 END AS k FROM landed),
+     n AS (SELECT feed_key, min(g) AS page FROM f, LATERAL (SELECT unnest(generate_series(1, 100)) AS g) WHERE NOT EXISTS
+             (SELECT 1 FROM landed l WHERE l.feed_key = f.feed_key AND l.page = g) GROUP BY 1),
+     fresh AS (SELECT feed_key, page, page - lag(page, 1, 0) OVER (PARTITION BY feed_key ORDER BY page) AS step
+               FROM landed WHERE page % 16 IN (1, 2, 7, 11)),
+     stop AS (SELECT feed_key, min(page) FILTER (WHERE step > k) AS stop, max(page) AS most FROM fresh JOIN f USING (feed_key) GROUP BY 1),
+     last AS (SELECT s.feed_key, CASE WHEN s.stop IS NULL THEN s.most
+                ELSE (SELECT max(page) FROM fresh x WHERE x.feed_key = s.feed_key AND x.page < s.stop) END AS last FROM stop s)
+SELECT n.feed_key, CAST(n.page AS INTEGER) AS page_seq FROM n JOIN f USING (feed_key) JOIN last USING (feed_key)
+WHERE k IS NULL OR n.page <= last + k
+""")
+def missing_pages(spark, sf_dir):
+    """Sources that would have gone on through a page that never landed."""
+    found = _paged_items(spark, sf_dir).filter("page_seq % 16 NOT IN (4, 6)")
+    return items.missing_pages(found, found.select("feed_key", "page_seq"), F.expr(_RULES))
 
 
 _MERGED = """
@@ -780,7 +825,7 @@ FROM orders
 """)
 def rss_round_trip(spark, sf_dir):
     """Publish every order, read the documents again."""
-    docs = _order_documents(spark, sf_dir, 1000).select(
+    docs = _order_documents(spark, sf_dir, 2**31 - 1).select(
         F.xxhash64("feed_key").alias("page_id"), "feed_key", F.lit(1).alias("page_seq"),
         F.lit("https://o.example.com/").alias("url"), F.col("content").alias("html"),
     )
@@ -1024,7 +1069,7 @@ FROM p
 
 @query("probe_pages", _PROBED)
 def probe_pages(spark, sf_dir):
-    return probe.probe_pages(_responses(spark, sf_dir)).withColumn(
+    return probe.probe_pages(_responses(spark, sf_dir), **probe.LIMITS).withColumn(
         "feeds", F.array_join("feeds", " ")
     )
 
@@ -1035,7 +1080,7 @@ SELECT input_ord, coalesce(CAST(status AS VARCHAR), nullif(error, ''), 'error')
 FROM ({_PROBED})
 """)
 def probe_lines(spark, sf_dir):
-    return probe.probe_lines(probe.probe_pages(_responses(spark, sf_dir)))
+    return probe.probe_lines(probe.probe_pages(_responses(spark, sf_dir), **probe.LIMITS))
 
 
 @query("decode_body", """
