@@ -136,9 +136,8 @@ def redacted(text: Column, mark: str, min_chars: int = MIN_CHARS, max_ratio: flo
 
 
 def find_secrets(docs: DataFrame, min_chars: int = MIN_CHARS, max_ratio: float = MAX_CHARS_PER_TOKEN,
-    XX: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, spans array<struct<kind, start, end>>)`` in order, and the redacted text as
-    ``clean_text`` (NULL stays NULL) if a ``mark`` is given."""
+                 path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, spans array<struct<kind, start, end>>)`` in order."""
     path = path or public_tokenizers.path(VOCABULARY)
     docs = pick(docs, doc_id=doc_id, text=text)
     schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
