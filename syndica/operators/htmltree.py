@@ -228,6 +228,35 @@ def parse_page(page: str | None, tags=None, attr_names=frozenset(), text_tags=No
         return []
 
 
+def unreadable_html(pages: DataFrame, keep: Iterable[str] = ("page_id",), html_col: str = "html"
+                    ) -> DataFrame:
+    """Pages that the tokenizer gives up on, ``(*keep, error_type)``: they give no rows at all.
+
+    Only a marked section can do that, so other pages are not read again.
+    """
+    ship_package(pages.sparkSession)
+    keep = list(keep)
+    source = pages.filter(F.contains(html_col, F.lit("<!["))).select(*keep, html_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = pa.array([_breaks(page) for page in batch.column(len(keep)).to_pylist()], pa.bool_())
+            yield batch.filter(bad).select(keep)
+
+    found = source.mapInArrow(run, T.StructType([source.schema[c] for c in keep]))
+    return found.withColumn("error_type", F.lit("UnreadableHtml"))
+
+
+def _breaks(page: str) -> bool:
+    tokens = _Tokens(frozenset(), frozenset(), frozenset(), frozenset(), None, None, 0)
+    try:
+        tokens.feed(page)
+        tokens.close()
+    except AssertionError:
+        return True
+    return False
+
+
 def html_nodes(
     pages: DataFrame,
     tags: Iterable[str] | None = None,

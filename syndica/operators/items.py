@@ -121,8 +121,9 @@ def members_by_route(sources: DataFrame, prefixes: dict[str, str],
         )
         for aggregate, prefix in prefixes.items()
     ]
-    out = branches[0]
-    for branch in branches[1:]:
+    out = sources.limit(0).select(
+        F.lit("").alias("aggregate_key"), F.col("key").alias("child_key"), order.alias("child_ord"))
+    for branch in branches:
         out = out.unionByName(branch)
     return out
 

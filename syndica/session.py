@@ -100,16 +100,17 @@ def join_measured(left: DataFrame, right: DataFrame, on, how: str = "inner",
     return left.join(written, on, how)
 
 
-def spread(df: DataFrame, bytes_per_core: int = 4 * 1024 * 1024) -> DataFrame:
-    """Repartition a small input that would not reach every core before a slow step.
+PARSE_TASKS = "spark.syndica.parseTasks"
 
-    Files with few row groups, and shuffles that AQE merges by size, can leave costly parsing
-    to one task. Inputs of at least ``bytes_per_core`` per core are split well already and
-    are left alone.
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition before a slow parsing step if the session setting ``PARSE_TASKS`` says so.
+
+    Unset (the default) leaves partitions as they are, which is right for large inputs. A local
+    run over small files may set it to its number of cores, as a file then is one task.
     """
-    size = estimated_bytes(df)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size is not None and size < cores * bytes_per_core else df
+    tasks = df.sparkSession.conf.get(PARSE_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 _shipped: set[str] = set()

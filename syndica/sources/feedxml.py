@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterable, Iterator
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -99,6 +100,33 @@ def feed_records(docs: DataFrame, keep: Iterable[str] = ("page_id",), body_col:
     return source.mapInArrow(run, schema)
 
 
+def unreadable_feeds(docs: DataFrame, keep: Iterable[str] = ("page_id",), body_col: str = "html"
+                     ) -> DataFrame:
+    """Documents that are no well-formed XML, ``(*keep, error_type)``; blank ones are not counted."""
+    ship_package(docs.sparkSession)
+    keep = list(keep)
+    source = docs.select(*keep, body_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = pa.array([_malformed(body) for body in batch.column(len(keep)).to_pylist()], pa.bool_())
+            yield batch.filter(bad).select(keep)
+
+    found = source.mapInArrow(run, T.StructType([source.schema[c] for c in keep]))
+    return found.withColumn("error_type", F.lit("UnreadableXml"))
+
+
+def _malformed(body: str | None) -> bool:
+    if not body or not body.strip():
+        return False
+    parser = expat.ParserCreate()
+    try:
+        parser.Parse(body, True)
+    except (expat.ExpatError, ValueError):
+        return True
+    return False
+
+
 def child_text(name: str) -> Column:
     """Text of the first child of that name that has any; trimmed, else empty."""
     return text_or_empty(F.expr(

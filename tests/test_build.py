@@ -48,3 +48,23 @@ def test_run_publishes_reports_and_keeps_failed_feeds(spark, pages, tmp_path):
     assert stamps == {"s": False, "g1": True, "g2": False, "gallery": True}
     opml = "".join(f.read_text() for f in sorted((tmp_path / "site" / "opml").glob("part-*")))
     assert opml.count("<outline") == 5
+
+
+def test_half_read_sources_keep_their_last_documents(spark, pages, tmp_path):
+    rows = [(i, k, f"http://{k}.example/", k, f"/gallery/{k}.xml", f"https://p/{k}", "links") for i, k in enumerate(("g1", "g2"))]
+    sources = spark.createDataFrame([(*r, "", "", "") for r in rows], SOURCES)
+    good = [(f"http://{k}.example/", "".join(_link(n) for n in range(3))) for k in ("g1", "g2")]
+
+    def landed(second_page):
+        both = pages(good[0], feed="g1").unionByName(pages(good[1], feed="g2"))
+        more = pages(("http://g1.example/2", second_page), feed="g1").withColumn("page_seq", F.lit(2))
+        return both.unionByName(more).withColumn("page_id", F.monotonically_increasing_id())
+
+    path = str(tmp_path / "site")
+    build.write_build(build.build_feeds(landed(_link(9)), sources, {}, F.expr("timestamp'2026-01-01'")), path)
+    run = build.build_feeds(landed(_link(8) + "<![foo[ bar]]>"), sources, {}, F.expr("timestamp'2026-02-01'"))
+    assert [(r.feed_key, r.error_type) for r in run.failures.collect()] == [("g1", "UnreadableHtml")]
+    build.write_build(run, path)
+    written = {r.feed_key: r for r in spark.read.parquet(f"{path}/feeds").filter("part_no = 0").collect()}
+    assert written["g1"].n_items == 4 and "01 Jan" in written["g1"].content
+    assert written["g2"].n_items == 3 and "01 Feb" in written["g2"].content

@@ -1022,6 +1022,24 @@ def build_feeds(spark, sf_dir):
     return written.unionByName(failed).unionByName(opml)
 
 
+@query("page_failures", """
+SELECT 'h' AS feed_key, page_id, 'UnreadableHtml' AS error_type FROM pages WHERE page_id % 5 = 1
+UNION ALL SELECT 'x', page_id, 'UnreadableXml' FROM pages WHERE page_id % 5 = 2
+UNION ALL SELECT 'j', page_id, 'RepeatedOrOversizeJson' FROM pages WHERE page_id % 5 = 3
+UNION ALL SELECT 'j', page_id, 'UnreadableJson' FROM pages WHERE page_id % 5 = 4
+""")
+def page_failures(spark, sf_dir):
+    """Every page as each kind of document, broken in most; blank ones among them."""
+    kinds = table(spark, sf_dir, "pages").select(
+        "page_id", F.explode(F.expr("""array(
+            struct('h' AS feed_key, 'links' AS dialect, if(page_id % 5 = 1, concat(html, '<![x[ y]]>'), html) AS html),
+            struct('x' AS feed_key, 'feed_xml' AS dialect,
+                   if(page_id % 5 = 2, '<rss><a></rss>', if(page_id % 5 = 0, ' ', '<rss/>')) AS html),
+            struct('j' AS feed_key, 'json_api' AS dialect, CASE page_id % 5 WHEN 3 THEN '{"a": 1, "a": 2}'
+                   WHEN 4 THEN '{"items": [' WHEN 0 THEN '' ELSE '{"items": []}' END AS html))""")).alias("d"))
+    return dispatch.page_failures(kinds.select("page_id", "d.*"))
+
+
 # --- probing -------------------------------------------------------------------------------
 
 @query("extract_urls", r"""
