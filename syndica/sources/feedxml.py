@@ -36,31 +36,59 @@ _ARROW_CHILD = pa.struct([
     ("parts", pa.list_(pa.struct([("name", pa.string()), ("text", pa.string())]))),
 ])
 _BATCH_ROWS = 2048
+_FEED_CHARS = 1 << 16
 
 
 def _local(tag) -> str:
     return tag.rpartition("}")[2] if isinstance(tag, str) else ""
 
 
-def _records(body: str | None) -> Iterator[list[dict]]:
+def _children(node) -> list[dict]:
+    return [
+        {"name": name, "text": child.text, "href": child.get("href"),
+         "parts": [{"name": _local(p.tag), "text": p.text} for p in child if _local(p.tag) in FIELDS]}
+        for child in node if (name := _local(child.tag)) in FIELDS
+    ]
+
+
+def _records(body: str | None) -> list[list[dict]]:
+    """Metadata children of every record, in document order; none if the document is malformed.
+
+    Pulled piece by piece: elements are dropped once they end outside every open record, so
+    memory holds the records' fields and not the document's tree.
+    """
     if not body or not body.strip():
-        return
+        return []
+    found: list = []
+    records: list[int] = []  # places in ``found`` of the records that are open
+    path: list = []
+
+    def consume(parser):
+        for event, node in parser.read_events():
+            if event == "start":
+                path.append(node)
+                if _local(node.tag) in RECORDS:
+                    records.append(len(found))
+                    found.append(None)
+                continue
+            path.pop()
+            if _local(node.tag) in RECORDS:
+                found[records.pop()] = _children(node)
+            if not records:
+                node.clear()
+                if path:
+                    path[-1].remove(node)
+
+    parser = ElementTree.XMLPullParser(("start", "end"))
     try:
-        root = ElementTree.fromstring(body)
+        for at in range(0, len(body), _FEED_CHARS):
+            parser.feed(body[at:at + _FEED_CHARS])
+            consume(parser)
+        parser.close()
+        consume(parser)
     except (ElementTree.ParseError, ValueError):
-        return
-    for node in root.iter():
-        if _local(node.tag) not in RECORDS:
-            continue
-        children = []
-        for child in node:
-            name = _local(child.tag)
-            if name in FIELDS:
-                parts = [{"name": _local(p.tag), "text": p.text} for p in child
-                         if _local(p.tag) in FIELDS]
-                children.append({"name": name, "text": child.text,
-                                 "href": child.get("href"), "parts": parts})
-        yield children
+        return []
+    return found
 
 
 def feed_records(docs: DataFrame, keep: Iterable[str] = ("page_id",), body_col: str = "html"

@@ -37,7 +37,8 @@ def start_item_ingest(pages: DataFrame, extract: Callable[[DataFrame], DataFrame
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         earlier = read_published(spark, published_path).filter(F.col("batch_id") < batch_id)
-        fresh = new_items(extract(batch), earlier).select(*ITEM_COLUMNS)
+        # what was published is unique by key, so the history needs no distinct
+        fresh = new_items(extract(batch), earlier, published_once=True).select(*ITEM_COLUMNS)
         fresh.write.mode("overwrite").parquet(f"{published_path}/batch_id={batch_id}")
 
     return (

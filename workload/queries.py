@@ -291,6 +291,23 @@ def gallery_links(spark, sf_dir):
     return _items(links.extract_links(render.gallery_pages(spark, sf_dir), max_items=35))
 
 
+# --- the same extractions without a limit --------------------------------------------------
+
+def _uncut(name: str, limit: int, make: Query) -> None:
+    query(f"{name}_uncut", ORACLES[name].replace(f"rank <= {limit}", "rank > 0"))(make)
+
+
+_uncut("link_feed", 5, lambda spark, sf_dir: _items(links.extract_links(landed_pages(spark, sf_dir))))
+_uncut("listing_a", 30, lambda spark, sf_dir: _items(
+    listing.extract_listing_a(render.listing_a_pages(spark, sf_dir))))
+_uncut("listing_b", 25, lambda spark, sf_dir: _items(
+    listing.extract_listing_b(render.listing_b_pages(spark, sf_dir))))
+_uncut("highlights", 20, lambda spark, sf_dir: _items(
+    listing.extract_highlights(render.highlights_pages(spark, sf_dir))))
+_uncut("gallery_links", 35, lambda spark, sf_dir: _items(
+    links.extract_links(render.gallery_pages(spark, sf_dir))))
+
+
 # --- feed documents ------------------------------------------------------------------------
 
 @query("feed_xml_rss", """
@@ -311,6 +328,10 @@ def feed_xml_rss(spark, sf_dir):
     return _items(feeds.extract_feed_items(render.rss_pages(spark, sf_dir), max_items=60))
 
 
+_uncut("feed_xml_rss", 60, lambda spark, sf_dir: _items(
+    feeds.extract_feed_items(render.rss_pages(spark, sf_dir))))
+
+
 @query("feed_xml_atom", """
 SELECT CAST(o_orderkey // 100 + 1 AS INTEGER) AS page_seq, 'rss:tag:' || o_orderkey AS guid,
        o_orderpriority AS title,
@@ -956,14 +977,14 @@ def feed_runs(spark, sf_dir):
 
 
 @query("publish_snapshot", """
-SELECT o_orderpriority AS title, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1
+SELECT o_orderpriority AS title, count(*) AS n FROM orders GROUP BY 1
 """)
 def publish_snapshot(spark, sf_dir):
     """The second version replaces the first as a whole."""
     path = scratch_path(spark, "snapshot")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    publish.publish_snapshot(rows.filter("o_orderstatus = 'F'"), path, 1)
-    publish.publish_snapshot(rows.filter("o_orderstatus = 'P'"), path, 2)
+    publish.publish_snapshot(rows.withColumn("o_orderpriority", F.lit("old")), path, 1)
+    publish.publish_snapshot(rows, path, 2)
     current = publish.read_snapshot(spark, path, rows.schema)
     return current.groupBy(F.col("o_orderpriority").alias("title")).agg(
         F.count(F.lit(1)).alias("n")
