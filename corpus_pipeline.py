@@ -2,7 +2,8 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over all that its predecessor kept, and is
 written before the next one reads it. Rows with a NULL id go through all stages: they are scored,
-never count as copies, keep their passages, lose their secrets and are packed.
+never count as copies, keep their passages, lose their secrets and are packed. Columns other
+than those of documents are left out, and so cannot clash with anything.
 """
 
 from __future__ import annotations
@@ -11,12 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syndica.llm import packing, passages, quality, secret_scan, simhash
-from syndica.llm.common import crc_of
+from syndica.llm.common import crc_of, pick
 from syndica.session import join_measured, materialize
 
 MARK = "[SECRET]"
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents that the table has, whatever others stand beside them."""
+    return pick(docs, **{c: c for c in COLUMNS if c in docs.columns})
+
+
 def _with_text(docs: DataFrame, text) -> DataFrame:
     """``docs`` with another text, and its length where the table tells it."""
     changed = docs.withColumn("text", text)
@@ -25,7 +34,7 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = _documents(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = materialize(quality.document_statistics(docs), "statistics")
     learn = F.coalesce(crc_of(F.col("doc_id")) % 3 != 1, F.lit(False))
     model = quality.fit(rows, labels, learn)
@@ -34,6 +43,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
+    docs = _documents(docs)
     found = simhash.near_duplicates(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return join_measured(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti")
@@ -41,12 +51,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that an earlier one has."""
-    return _with_text(passages.remove_repeats(docs), F.col("text"))
+    return _with_text(passages.remove_repeats(_documents(docs)), F.col("text"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of every secret."""
-    return _with_text(docs, secret_scan.redacted(F.col("text"), MARK))
+    return _with_text(_documents(docs), secret_scan.redacted(F.col("text"), MARK))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,23 +13,25 @@ from syndica.session import materialize, ship_package
 MAX_ROUNDS = 60
 
 
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, as ``new=old``; other columns cannot clash with anything later.
+def place_of(df: DataFrame, name: str) -> int:
+    """Which column ``name`` means: an exact name wins over one that differs in case, the first
+    of equal names over later ones."""
+    same = [i for i, n in enumerate(df.columns) if n == name]
+    same = same or [i for i, n in enumerate(df.columns) if n.lower() == name.lower()]
+    if not same:
+        raise ValueError(f"no column {name!r} among {df.columns}")
+    return same[0]
 
-    An exact name wins over one that differs in case, the first of equal names over later ones.
-    """
-    ship_package(df.sparkSession)
-    names = df.columns
-    numbered = df.toDF(*[f"_c{i}" for i in range(len(names))])
 
-    def find(name: str) -> str:
-        same = [i for i, n in enumerate(names) if n == name]
-        same = same or [i for i, n in enumerate(names) if n.lower() == name.lower()]
-        if not same:
-            raise ValueError(f"no column {name!r} among {names}")
-        return f"_c{same[0]}"
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns named by place, ``_c0`` and so on, so that none can clash."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
 
-    return numbered.select(*[F.col(find(old)).alias(new) for new, old in columns.items()])
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """Only the named columns, as ``new=old``; other columns cannot clash with anything later."""
+    ship_package(df.sparkSession)
+    return numbered(df).select(*[F.col(f"_c{place_of(df, old)}").alias(new) for new, old in columns.items()])
 
 
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:

@@ -71,6 +71,18 @@ def test_each_stage_on_what_the_one_before_kept(spark, prepared):
     assert max(fills.values()) <= 1024 and len(fills) <= 1.02 * sum(fills.values()) / 1024 + 1
 
 
+def test_stages_with_columns_of_clashing_names(spark, clashing):
+    table = clashing("Some words of a text that stands here.", None, "", "password=abcdef1 here", (None, "x"))
+    docs = table
+    for name in ("_gone", "_doc", "_hash", "_spans", "_c0", "doc_id2"):
+        docs = docs.selectExpr("*", f"'other' AS `{name}`")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        made = stage(spark, docs, DATA)
+        assert made.columns == list(corpus_pipeline.COLUMNS) and made.count() >= 4
+    assert corpus_pipeline.STAGES[0][1](spark, docs, DATA).columns == list(corpus_pipeline.COLUMNS)
+    assert len(corpus_pipeline.STAGES[4][1](spark, docs, DATA).collect()) == 5
+
+
 def test_run_and_an_empty_table(spark, docs, tmp_path):
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert len(rows) > 50
