@@ -137,6 +137,20 @@ def write_probe_report(probes: DataFrame, path: str) -> None:
     )
 
 
-def write_host_cache(pages: DataFrame, path: str) -> None:
-    """Keep one page per host, the last one landed, in a folder per host (K8)."""
-    last_page_per_host(pages).write.mode("overwrite").partitionBy("host").parquet(path)
+def write_host_cache(pages: DataFrame, path: str, buckets: int = 64) -> None:
+    """Keep one page per host, the last one landed (K8).
+
+    Hosts are spread over ``buckets`` folders by their hash, with ``host`` as a column: a reader
+    of one host reads one folder, and millions of hosts make no millions of folders.
+    """
+    (
+        last_page_per_host(pages)
+        .withColumn("host_bucket", host_bucket(F.col("host"), buckets))
+        .repartition(buckets, "host_bucket")
+        .write.mode("overwrite").partitionBy("host_bucket").parquet(path)
+    )
+
+
+def host_bucket(host: Column, buckets: int = 64) -> Column:
+    """The folder of a host in the cache."""
+    return F.pmod(F.xxhash64(host), F.lit(buckets)).cast("int")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syndica.functions import urls
+from syndica.functions import strings, urls
 from syndica.operators import freshness, hosts, htmltree, items
 from syndica.operators.ranges import ordinals
 from syndica.plans import build, dispatch, feeds, links, listing, probe, publish
@@ -1148,6 +1148,48 @@ def cache_by_host(spark, sf_dir):
     )
 
 
+@query("probe_report", _PROBED)
+def probe_report(spark, sf_dir):
+    """The JSON report, written and read again."""
+    path = scratch_path(spark, "probe-report")
+    found = probe.probe_pages(_responses(spark, sf_dir), **probe.LIMITS)
+    probe.write_probe_report(found, path)
+    return spark.read.schema(found.schema).json(path).withColumn("feeds", F.array_join("feeds", " "))
+
+
+@query("raw_pages", """
+SELECT page_id, left(html, 20) AS head, length(html) AS n_chars FROM pages
+""")
+def raw_pages(spark, sf_dir):
+    """Pages as raw files, read back; the head is what a reader with a cap of 20 bytes sees."""
+    path = scratch_path(spark, "raw-pages")
+    table(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
+    files = page_source.read_files(spark, f"{path}/*", "*.txt").select(
+        F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), "body")
+    # the writer ends every file with a line's end
+    whole = F.regexp_replace(page_source.decode_body(F.col("body")), "\\n\\z", "")
+    return files.select("page_id", page_source.decode_body(F.col("body"), 20).alias("head"),
+                        F.length(whole).cast("bigint").alias("n_chars"))
+
+
+@query("section_names", """
+SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS first,
+       CASE WHEN n_nationkey % 2 = 0 THEN 'r ' || n_regionkey END AS second, 'title' AS local, 'creator' AS prefixed
+FROM nation
+""")
+def section_names(spark, sf_dir):
+    """Names of a ``;`` list by their place, shorter or longer than the keys; names without namespace."""
+    named = table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey", """concat(if(n_nationkey % 3 = 0, concat(' ', n_name, '  '), ''),
+            if(n_nationkey % 2 = 0, concat('; r ', n_regionkey, ';extra'), '')) AS raw""",
+        "concat('{urn:', n_name, '}title') AS uri", "concat(lower(left(n_name, 2)), ':creator') AS prefixed")
+    names = strings.names_by_key(["19", "21"], F.col("raw"))
+    return named.withColumn("names", names).select(
+        "n_nationkey", F.nullif(F.col("names")["19"], F.lit("")).alias("first"),
+        F.col("names")["21"].alias("second"), strings.local_name(F.col("uri")).alias("local"),
+        strings.local_name(F.col("prefixed")).alias("prefixed"))
+
+
 # --- freshness -----------------------------------------------------------------------------
 
 _RULE = """CASE WHEN epoch_us({now}) < epoch_us(ok_at) + {ttl} * 1000000::BIGINT THEN 'fresh'
