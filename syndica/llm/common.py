@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syndica.session import materialize, ship_package
 
 MAX_ROUNDS = 60
+BATCH_ROWS = 512
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def place_of(df: DataFrame, name: str) -> int:
@@ -28,9 +30,19 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Send rows to Python in batches of ``BATCH_ROWS``, unless the session has a size of its own.
+
+    Spark's default of 10,000 texts in a batch costs a worker several times their bytes at once.
+    """
+    if spark.conf.get(_BATCH_SETTING) == "10000":
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, as ``new=old``; other columns cannot clash with anything later."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     return numbered(df).select(*[F.col(f"_c{place_of(df, old)}").alias(new) for new, old in columns.items()])
 
 

@@ -50,9 +50,7 @@ class Ids:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism here
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self._tokenizer = path, None
         self.known = Memo(self._ids)
         self.special: tuple[str, ...] = ()
         self.ranked = None
@@ -63,7 +61,7 @@ class Ids:
         if data["model"]["type"] == "BPE" and not data.get("normalizer") and byte_level.items() <= split.items():
             import tiktoken
 
-            vocabulary = load_vocabulary(path)
+            vocabulary = load_vocabulary.__wrapped__(path)  # not kept
             self.special = vocabulary.special
             texts = {i: t for t, i in vocabulary.tokens.items()}
             merged = [token for _, token in sorted(vocabulary.merges.values())]
@@ -73,6 +71,14 @@ class Ids:
                 "merges", pat_str=public_tokenizers.PATTERN, special_tokens={},
                 mergeable_ranks={texts[i]: rank for rank, i in enumerate(order)})
 
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
+
     def _ids(self, piece: str) -> bytes:
         if self.ranked is None or any(s in piece for s in self.special):
             return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()

@@ -49,7 +49,7 @@ class Memo(dict):
     Two generations of at most ``limit`` pieces: what was used since the last turn stays.
     """
 
-    def __init__(self, compute, limit: int = 150_000):
+    def __init__(self, compute, limit: int = 100_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
