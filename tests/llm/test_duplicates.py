@@ -242,6 +242,18 @@ def test_verified_similarity_of_long_paragraphs(spark, docs):
     assert len({tuple(r.clusters) for r in found}) == 1
 
 
+def test_unrepeated_short_lines_stay(spark, docs):
+    """A list of short lines between a repeated header and footer is text of its own."""
+    rng = random.Random(13)
+    header, footer = (" ".join(f"{p}{i}" for i in range(14)) + "." for p in "hf")
+    lists = ["\n".join(f"item {rng.randrange(10**6)} is {rng.randrange(10**6)}" for _ in range(30)) for _ in range(2)]
+    rows = [f"{header}\n{items}\n{footer}" for items in lists]
+    both = [*rows, rows[1] + "\nand an end of its own in this text"]
+    assert {r.doc_id: r.text for r in passages.remove_repeats(docs(*rows)).collect()} == dict(enumerate(rows))
+    got = {r.doc_id: r.text for r in passages.remove_repeats(docs(*both)).collect()}
+    assert got[0] == both[0] and got[1] == both[1] and got[2].split() == "and an end of its own in this text".split()
+
+
 def test_bands_reach_the_recall():
     n = passages.tune_bands(0.8, 0.99)
     assert 1 - 0.2 ** n >= 0.99 > 1 - 0.2 ** (n - 1)
