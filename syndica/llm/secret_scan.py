@@ -3,8 +3,8 @@
 The patterns find assignments to telling names, access keys and long hexadecimal runs. The
 token-efficiency test adds the rest: ordinary words and names are in a tokenizer's vocabulary in
 large parts, random strings are not, so few characters per token under a general vocabulary give
-them away. It looks at runs of at least ``min_chars`` key characters that mix kinds of characters
-and touch no span of the patterns. Known digests (hexadecimal runs of a digest's length, UUIDs)
+them away. It looks at runs of at least ``min_chars`` key characters that mix kinds of characters;
+a run is cut at spans of the patterns, and what remains of it is tested by itself. Known digests (hexadecimal runs of a digest's length, UUIDs)
 and identifiers (all digits, or words and numbers joined by ``-``, ``_`` or ``/``) are left out.
 
 Positions are code points, ends exclusive. NULL counts as an empty text, which has no spans.
@@ -79,7 +79,7 @@ def characters_per_token(run: str, encoding) -> float:
 
 def random_spans(text: str, taken: list[Span], path: str, min_chars: int = MIN_CHARS,
                  max_ratio: float = MAX_CHARS_PER_TOKEN) -> list[Span]:
-    """Runs that fail the token-efficiency test and overlap none of ``taken``."""
+    """Runs, or what ``taken`` leaves of them, that fail the token-efficiency test."""
     found, borders, at = [], sorted((s, e) for _, s, e in taken), 0
     furthest = -1  # end of the spans that start before the run
     for m in _runs(min_chars).finditer(text):
@@ -90,13 +90,27 @@ def random_spans(text: str, taken: list[Span], path: str, min_chars: int = MIN_C
         end = start + len(run.rstrip("-_/+"))
         if end - start < min_chars:
             continue
+        left, pieces = max(start, furthest), []
         while at < len(borders) and borders[at][0] < end:
+            if borders[at][0] > left:
+                pieces.append((left, borders[at][0]))
             furthest = max(furthest, borders[at][1])
+            left = max(left, furthest)
             at += 1
-        if furthest > start:
-            continue
-        if characters_per_token(text[start:end], tokenizer(path)) <= max_ratio:
-            found.append((RANDOM, start, end))
+        if left < end:
+            pieces.append((left, end))
+        for a, b in pieces:
+            if (a, b) != (start, end):
+                piece = text[a:b]
+                if a > start:
+                    a = b - len(piece.lstrip("-_/+="))
+                if b < end:
+                    b -= len(piece) - len(piece.rstrip("-_/+="))
+                piece = text[a:b]
+                if b - a < min_chars or piece.isalpha() or is_known(piece):
+                    continue
+            if characters_per_token(text[a:b], tokenizer(path)) <= max_ratio:
+                found.append((RANDOM, a, b))
     return found
 
 
