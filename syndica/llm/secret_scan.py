@@ -3,9 +3,9 @@
 The patterns find assignments to telling names, access keys and long hexadecimal runs. The
 token-efficiency test adds the rest: ordinary words and names are in a tokenizer's vocabulary in
 large parts, random strings are not, so few characters per token under a general vocabulary give
-them away. It looks at runs of at least ``min_chars`` key characters that mix kinds of characters;
-a run is cut at spans of the patterns, and what remains of it is tested by itself. Known digests (hexadecimal runs of a digest's length, UUIDs)
-and identifiers (all digits, or words and numbers joined by ``-``, ``_`` or ``/``) are left out.
+them away. It looks at runs of at least ``min_chars`` key characters; a run is cut at spans of the patterns, and what remains of it is tested by itself. Known digests (hexadecimal runs of a digest's length, UUIDs)
+and identifiers are left out: all digits, or letter groups and numbers joined by ``-``, ``_``, ``/`` and
+the like, where every letter group of more than ``SHORT_WORD`` letters passes the test by itself.
 
 Positions are code points, ends exclusive. NULL counts as an empty text, which has no spans.
 Whole texts are searched whatever their length. Repeated rows give repeated results, an empty
@@ -30,6 +30,7 @@ BASE_KINDS = ("assign", "access", "hex")
 RANDOM = "random"
 MIN_CHARS = 16
 MAX_CHARS_PER_TOKEN = 2.0
+SHORT_WORD = 3  # letters; such groups tell nothing about a run
 _LONGEST = 4096  # bytes tokenized at a time; ratios of longer runs are taken over all their parts
 
 _ASSIGN = re.compile(
@@ -41,6 +42,8 @@ _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-
                      r"|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
 _JOINED = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/+=]+(?:[A-Za-z]+|[0-9]+))*[-_/+=]*\Z")
 
+_LETTERS = re.compile(r"[A-Za-z]+")
+
 Span = tuple[str, int, int]
 
 
@@ -67,16 +70,19 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def is_known(run: str) -> bool:
-    """Whether a run is a digest or an identifier."""
-    return bool(_JOINED.match(run) or _DIGEST.match(run))
-
-
 def characters_per_token(run: str, encoding) -> float:
     parts = (run[i:i + _LONGEST] for i in range(0, len(run), _LONGEST))
     return len(run) / sum(len(encoding.encode_ordinary(p)) for p in parts)
 
 
+def is_known(run: str, path: str, max_ratio: float = MAX_CHARS_PER_TOKEN) -> bool:
+    """Whether a run is a digest or an identifier."""
+    if _DIGEST.match(run):
+        return True
+    return bool(_JOINED.match(run)) and all(
+        len(g) <= SHORT_WORD or characters_per_token(g, tokenizer(path)) > max_ratio for g in _LETTERS.findall(run))
+
+
 def random_spans(text: str, taken: list[Span], path: str, min_chars: int = MIN_CHARS,
                  max_ratio: float = MAX_CHARS_PER_TOKEN) -> list[Span]:
     """Runs, or what ``taken`` leaves of them, that fail the token-efficiency test."""
@@ -85,7 +91,7 @@ def random_spans(text: str, taken: list[Span], path: str, min_chars: int = MIN_C
     for m in _runs(min_chars).finditer(text):
         run = m.group()
         start = m.start()
-        if run.isalpha() or is_known(run):
+        if is_known(run, path, max_ratio):
             continue
         end = start + len(run.rstrip("-_/+"))
         if end - start < min_chars:
@@ -107,7 +113,7 @@ def random_spans(text: str, taken: list[Span], path: str, min_chars: int = MIN_C
                 if b < end:
                     b -= len(piece) - len(piece.rstrip("-_/+="))
                 piece = text[a:b]
-                if b - a < min_chars or piece.isalpha() or is_known(piece):
+                if b - a < min_chars or is_known(piece, path, max_ratio):
                     continue
             if characters_per_token(text[a:b], tokenizer(path)) <= max_ratio:
                 found.append((RANDOM, a, b))
