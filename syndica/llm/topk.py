@@ -15,7 +15,8 @@ at most ``k`` candidates per query leave a task.
 Vectors that are NULL or hold NULL or non-finite components, and rows without an id, take no
 part. Vectors of different length are compared as if the shorter one ended in zeros. A query with
 fewer than ``k`` candidates gets all of them. Of repeated rows each is a candidate for the others;
-rows with the query's own id are not. Scores must fit 64 bits: lengths beyond that raise an error.
+rows with the query's own id are not. Of repeated rows of a query each is a query of its own with ``k``
+ranks of its own, so that equal ones give equal answers, once each. Scores must fit 64 bits: lengths beyond that raise an error.
 An empty table gives no rows; other columns of the input are not looked at.
 """
 
@@ -95,8 +96,8 @@ class Pruner:
         self.rotation, self.top, dim = rotation, top, len(rotation)
         self.heads = sorted({int(np.ceil(h * dim)) for h in HEADS} - {0, dim})
 
-    def best(self, q_ids, q: np.ndarray, least: np.ndarray, c_ids, c: np.ndarray) -> list[tuple]:
-        """``(query, candidate, score)``, at most ``top`` a query; candidates longest first.
+    def best(self, q_ids, copies, q: np.ndarray, least: np.ndarray, c_ids, c: np.ndarray) -> list[tuple]:
+        """``(query, copy, candidate, score)``, at most ``top`` a query; candidates longest first.
         ``least`` holds scores that a candidate must reach."""
         exact = max(self._longest(q), self._longest(c)) < 1 << 52
         qt, ct = q @ self.rotation, c @ self.rotation
@@ -133,7 +134,7 @@ class Pruner:
             rows, cols, scores = live[rows[good]], cols[good], scores[good]
             held_s, held_i, held_k, least = self._merge(held_s, held_i, held_k, least, rows, cols, scores, c_ids)
         i, j = np.nonzero(held_k)
-        return list(zip(q_ids[i].tolist(), c_ids[held_i[i, j]].tolist(), held_s[i, j].tolist()))
+        return list(zip(q_ids[i].tolist(), copies[i].tolist(), c_ids[held_i[i, j]].tolist(), held_s[i, j].tolist()))
 
     @staticmethod
     def _longest(x: np.ndarray) -> float:
@@ -196,11 +197,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = TOP, scale: int = 64, bl
     numbers = materialize(blocks.select("part", "number", "norm2").withColumn(
         "block", F.row_number().over(longest_first) - 1), "block-numbers")
     blocks = blocks.join(numbers.select("part", "number", "block"), ["part", "number"])
+    copies = Window.partitionBy("vec_id").orderBy("v")
     asked = materialize(rows.where(queries).select(
-        F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm2").alias("q_norm2")), "queries")
+        F.col("vec_id").alias("query_id"), F.row_number().over(copies).alias("copy"), F.col("v").alias("q"),
+        F.col("norm2").alias("q_norm2")), "queries")
 
     def against(pairs: DataFrame) -> DataFrame:
-        """Best candidates of ``(block, query_id, q, least)`` rows, each in the task of its block."""
+        """Best candidates of ``(block, query_id, copy, q, least)`` rows, each in the task of its block."""
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             found = []
             if len(left) and len(right):
@@ -209,21 +212,21 @@ def top_k(vectors: DataFrame, queries: Column, k: int = TOP, scale: int = 64, bl
                 c, c_ids = _matrix(at["vs"], dim), np.asarray(at["ids"])
                 for i in range(0, len(left), QUERIES):
                     some = left.iloc[i:i + QUERIES]
-                    found += pruner.best(some["query_id"].to_numpy(), _matrix(some["q"], dim),
+                    found += pruner.best(some["query_id"].to_numpy(), some["copy"].to_numpy(), _matrix(some["q"], dim),
                                          some["least"].fillna(-np.inf).to_numpy(), c_ids, c)
-            return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+            return pd.DataFrame(found, columns=["query_id", "copy", "vec_id", "score"])
 
         both = pairs.groupBy("block", "some").cogroup(
             blocks.withColumn("some", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("block", "some"))
-        return both.applyInPandas(run, f"query_id {id_type}, vec_id {id_type}, score bigint")
+        return both.applyInPandas(run, f"query_id {id_type}, copy int, vec_id {id_type}, score bigint")
 
     n_queries = asked.count()
     parts = max(1, -(-n_queries // (16 * QUERIES)))  # queries that meet a block in one task are bounded
-    some = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("some")
+    some = F.pmod(F.xxhash64("query_id", "copy"), F.lit(parts)).cast("int").alias("some")
     none = F.lit(None).cast("double").alias("least")
-    first = materialize(against(asked.select(F.lit(0).alias("block"), some, "query_id", "q", none)), "first-block")
-    reached = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
-    seeded = asked.join(reached.withColumnRenamed("query_id", "_id"), F.col("query_id") == F.col("_id"), "left")
+    first = materialize(against(asked.select(F.lit(0).alias("block"), some, "query_id", "copy", "q", none)), "first-block")
+    reached = first.groupBy(F.col("query_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+    seeded = asked.join(reached, (F.col("query_id") == F.col("_id")) & (F.col("copy") == F.col("_copy")), "left")
     # how short the longest vector of a block may be; blocks beyond that cannot hold a better one
     seeded = seeded.withColumn("least", F.when(F.col("n") >= k, F.col("kth").cast("double")))
     others = numbers.where("block > 0").select("block", "norm2")
@@ -234,7 +237,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = TOP, scale: int = 64, bl
         wanted = seeded.withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(ladder)))).join(others, "block").where(
             F.col("least").isNull()
             | (F.sqrt(F.col("q_norm2").cast("double")) * F.sqrt(F.col("norm2").cast("double")) * (1 + 1e-9) >= F.col("least")))
-        rest = against(wanted.select("block", some, "query_id", "q", "least"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        rest = against(wanted.select("block", some, "query_id", "copy", "q", "least"))
+    best = Window.partitionBy("query_id", "copy").orderBy(F.col("score").desc(), "vec_id")
     return first.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -164,6 +164,19 @@ def test_top_k(spark, vectors, block):
     assert topk.top_k(_vectors(spark, vectors).limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+@pytest.mark.parametrize("block", [16, 4096])
+def test_top_k_of_repeated_queries(spark, vectors, block):
+    """Copies of a query, and rows of its id with another vector, are ranked each by itself."""
+    vectors = [*vectors[:100], (600, vectors[0][1], 0), (600, vectors[0][1], 0), (600, vectors[1][1], 0)]
+    got = topk.top_k(_vectors(spark, vectors), F.col("vec_id") == 600, k=7, block=block).collect()
+    whole = [(i, np.floor(64 * np.array(np.array(v, np.float32), float))) for i, v, _ in vectors]
+    want = []
+    for _, q in whole[-3:]:
+        order = sorted((-int(q @ v), j) for j, v in whole if j != 600)[:7]
+        want += [(600, r + 1, j, -s) for r, (s, j) in enumerate(order)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_top_k_of_large_numbers_and_few_rows(spark):
     rows = [(0, [1e7, 3e6], 0), (1, [3e6, -1e7], 0), (3, [1e7, 1.0], 0)]
     got = topk.top_k(_vectors(spark, rows), F.col("vec_id") == 0).collect()
