@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syndica.llm import packing, passages, quality, secret_scan, simhash
+from syndica.llm import copies, packing, passages, quality, secret_scan
 from syndica.llm.common import crc_of, pick
 from syndica.session import join_measured, materialize
 
@@ -42,9 +42,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near copies (five-word shingles, Jaccard >= 0.8)."""
     docs = _documents(docs)
-    found = simhash.near_duplicates(docs)
+    found = copies.near_copies(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return join_measured(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 

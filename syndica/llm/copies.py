@@ -1,0 +1,81 @@
+"""Near copies of whole texts: five-word shingles whose Jaccard similarity reaches 0.8.
+
+Two texts are compared if their SimHash fingerprints (of the same shingles) are linked within two
+bits, or if they share a MinHash band. Fingerprints alone are no sufficient index: at similarity 0.8
+they differ in some ten bits of 64, where no positional byte need agree. Bands of ``ROWS`` minima
+are as many as find ``RECALL`` of the pairs at the wanted similarity itself, and more of nearer ones.
+All candidates are verified by the exact Jaccard similarity of their sets of shingle hashes.
+
+Words are lower-cased; a text of fewer than five words is one shingle, and NULL is a text without
+words. Equal sequences of words are one text from the start. Rows without an id take no part.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from syndica.llm.common import connected_components, map_batches, pick
+from syndica.llm.passages import _FACTOR, _mixed, _near, tune_bands
+from syndica.llm.simhash import fingerprint, near_links
+from syndica.session import join_measured, materialize
+
+SHINGLE = 5
+SIMILARITY = 0.8
+RECALL = 0.995
+ROWS = 4
+MAX_LIST = 512
+
+
+def signature(text: str, bands: int) -> tuple[int, list[int], bytes]:
+    """Identity of the words, band keys, and the sorted hashes of the shingles."""
+    words = text.lower().split()
+    joined = " ".join(words)
+    unit = xxhash.xxh64_intdigest(joined.encode("utf-8"))
+    if len(words) < SHINGLE:
+        shingles = np.array([unit], np.uint64)
+    else:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8")) for w in words), np.uint64, len(words))
+        n = len(words) - SHINGLE + 1
+        shingles = np.zeros(n, np.uint64)
+        for k in range(SHINGLE):
+            shingles = shingles * _FACTOR + hashes[k:k + n]
+        shingles = _mixed(shingles)
+    shingles = np.unique((shingles >> np.uint64(32)).astype(np.uint32))
+    wide, keys = shingles.astype(np.uint64), []
+    for band in range(bands):
+        key = np.full(1, band, np.uint64)
+        for row in range(ROWS):
+            seed = np.uint64(0x9E3779B97F4A7C15 * (band * ROWS + row + 1) % (1 << 64))
+            key = _mixed(key * _FACTOR + _mixed(_mixed(wide + seed)).min())
+        keys.append(int(key.view(np.int64)[0]))
+    return unit - (1 << 64) if unit >> 63 else unit, keys, shingles.tobytes()
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL,
+                max_list: int = MAX_LIST) -> DataFrame:
+    """``(doc_id, component_id)`` of rows with an id; components are named by their smallest id."""
+    docs = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null")
+    bands = tune_bands(similarity, recall, ROWS)
+
+    def run(batch):
+        fps = [fingerprint(t or "", SHINGLE) for t in batch["text"]]
+        made = [signature(t or "", bands) for t in batch["text"]]
+        return {"doc_id": batch["doc_id"], "fp": [f - (1 << 64) if f >> 63 else f for f in fps],
+                "unit": [m[0] for m in made], "keys": [m[1] for m in made], "shingles": [m[2] for m in made]}
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = materialize(map_batches(
+        docs, run, f"doc_id {id_type}, fp bigint, unit bigint, keys array<bigint>, shingles binary"), "copies")
+    close = connected_components(near_links(rows.select("fp").distinct())).select(
+        F.col("node").alias("_fp"), F.col("component").alias("_near"))
+    units = join_measured(rows.select("fp", "unit", "keys", "shingles"), close, F.col("fp") == F.col("_fp"), "left")
+    units = units.select("unit", "shingles", F.concat("keys", F.array(F.coalesce("_near", "fp"))).alias("keys"))
+    parts = materialize(connected_components(_near(units, similarity, max_list)), "copy-groups")
+    member = rows.select("doc_id", "unit").join(parts, F.col("unit") == F.col("node"), "left").select(
+        "doc_id", F.coalesce("component", "unit").alias("component"))
+    member = materialize(member, "copy-members")
+    named = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return member.join(named, "component").select("doc_id", "component_id")

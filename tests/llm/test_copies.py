@@ -1,0 +1,43 @@
+"""Near copies of whole texts against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from syndica.llm import copies
+from syndica.llm.common import smallest_reached
+
+
+def _shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_near_copies_against_brute_force(spark, clashing):
+    rng = random.Random(21)
+    plain = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts = [None, "", "one two", "One  TWO", "one three"]
+    for _ in range(40):
+        base = plain(rng.randrange(60, 300))
+        texts.append(" ".join(base))
+        for edits in (1, 2, len(base) // 60, len(base) // 25):
+            changed = list(base)
+            for _ in range(edits):
+                changed[rng.randrange(len(base))] = "changed"
+            texts.append(" ".join(changed))
+    sets = [_shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if _similar(sets[i], sets[j])]
+    roots = smallest_reached(len(texts), pairs)
+    assert 80 < sum(i != r for i, r in enumerate(roots))
+    got = {r.doc_id: r.component_id for r in copies.near_copies(clashing(*texts, (None, "no id"))).collect()}
+    assert set(got) == set(range(len(texts)))
+    assert all(roots[i] == roots[c] for i, c in got.items())
+    assert sum(got[i] != r for i, r in enumerate(roots)) <= 2
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, clashing(*texts), "").collect()}
+    assert kept == {i for i, c in got.items() if i == c}
+    assert copies.near_copies(clashing("x").limit(0)).collect() == []
