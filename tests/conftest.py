@@ -38,7 +38,3 @@ def pages(spark):
         return spark.createDataFrame(rows, PAGES)
 
     return make
-
-
-def rows_of(df, *columns, order=("page_seq", "pos")):
-    return [tuple(r) for r in df.orderBy(*order).select(*columns).collect()]

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from rows import rows_of
 from syndica.plans import dispatch, feeds, links
 
 URL = "https://g.example/list/"

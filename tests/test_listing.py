@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from conftest import rows_of
+from rows import rows_of
 from syndica.plans import listing
 
 A_URL = "https://a.example/thread0806.php?fid=16"

@@ -555,7 +555,7 @@ def enumerate_pages(spark, sf_dir):
     sources = _sources(spark, sf_dir).withColumn(
         "template", F.concat("source_url", F.lit("?page={page}"))
     )
-    return hosts.enumerate_pages(sources, "template", 5).select("key", "page_seq", "page_url")
+    return hosts.enumerate_pages(sources, "template", limit=5).select("key", "page_seq", "page_url")
 
 
 @query("crawl_slots", f"""
