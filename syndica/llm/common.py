@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syndica.session import materialize, ship_package
 
 MAX_ROUNDS = 60
 BATCH_ROWS = 512
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def place_of(df: DataFrame, name: str) -> int:
@@ -30,19 +29,20 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Send rows to Python in batches of ``BATCH_ROWS``, unless the session has a size of its own.
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in batches of at most ``rows``, without copies.
 
-    Spark's default of 10,000 texts in a batch costs a worker several times their bytes at once.
+    Spark's default of 10,000 texts, made into Python objects at once, costs a worker several times
+    their bytes. The session's own batch size stays as it is.
     """
-    if spark.conf.get(_BATCH_SETTING) == "10000":
-        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, as ``new=old``; other columns cannot clash with anything later."""
     ship_package(df.sparkSession)
-    bound_batches(df.sparkSession)
     return numbered(df).select(*[F.col(f"_c{place_of(df, old)}").alias(new) for new, old in columns.items()])
 
 
@@ -56,7 +56,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out)
-        for batch in batches:
+        for batch in sliced(batches):
             made = fn({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array(made[f.name], f.type) for f in arrow], schema=arrow)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syndica.llm.common import map_batches, pick
+from syndica.llm.common import map_batches, pick, sliced
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -160,7 +160,7 @@ def learn(docs: DataFrame, rows: Column, language: str = "lang", doc_id: str = "
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for group in _in_groups(texts):
                 by_language: dict[str, list[str]] = {}

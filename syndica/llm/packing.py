@@ -30,7 +30,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from syndica.llm.common import pick
+from syndica.llm.common import pick, sliced
 from syndica.llm.pieces import Memo, spaced_pieces, split_pieces
 from syndica.llm.token_count import load_vocabulary
 from syndica.session import materialize
@@ -164,7 +164,7 @@ def _pieces(docs: DataFrame, capacity: int, end_id: int, path: str, with_ids: bo
 
     def run(batches):
         arrow, known, seen = to_arrow_schema(out), encoder(path), {}
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
                 ids = known.encode(text or "") + end
