@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syndica.llm import bpe, caps, language, packing, passages, quality, secret_scan, simhash, token_count, topk
+from syndica.llm import (
+    bpe, caps, language, packing, passages, quality, secret_scan, simhash, token_count, topk, word_runs,
+)
 from syndica.llm.common import crc_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +86,21 @@ def op9_repeated_passages(spark, sf_dir):
 @query
 def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_words(doc_id, words: list[bytes]) -> list[bytes]:
+    """The words of a document, of which one in ten ends in a repeated stretch (by its id's CRC-32);
+    a document without an id keeps its words."""
+    mark = zlib.crc32(str(doc_id).encode())
+    n, rest = len(words), mark // 10
+    if doc_id is None or mark % 10 or not n:
+        return words
+    start = rest % n
+    period = 1 + (n - start) // (3 + rest % 8)
+    copies = -(-(n - start) // period)
+    return words[:start] + (words[start:start + period] * copies)[:n - start]
+
+
+@query
+def op13_word_runs(spark, sf_dir):
+    return word_runs.run_digests(word_runs.find_runs(table(spark, sf_dir, "documents"), prepare=op13_words))
