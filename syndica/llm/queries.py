@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syndica.llm import (
-    bpe, caps, language, packing, passages, quality, secret_scan, simhash, token_count, topk, word_runs,
+    ball_search, bpe, caps, language, packing, passages, quality, secret_scan, simhash, token_count, topk, word_runs,
 )
 from syndica.llm.common import crc_of
 
@@ -23,6 +23,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def sql(name: str, text: str) -> None:
+    ORACLES[name] = text
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,6 +92,31 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_ball_search(spark, sf_dir):
+    return ball_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = """regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+sql("op12_ball_search", f"""
+WITH words AS (SELECT doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM words WHERE len(ts) > 0),
+tf AS (SELECT doc_id, t, any_value(n) AS n, count(*) AS tf
+       FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM words) GROUP BY doc_id, t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf, whole GROUP BY t),
+asked AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark)),
+scored AS (SELECT item_id, doc_id,
+                  CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+           FROM asked JOIN tf USING (t) JOIN weights USING (t), whole GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+                  doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+""")
+
+
 def op13_words(doc_id, words: list[bytes]) -> list[bytes]:
     """The words of a document, of which one in ten ends in a repeated stretch (by its id's CRC-32);
     a document without an id keeps its words."""
