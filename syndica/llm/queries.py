@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syndica.llm import (
-    ball_search, bpe, caps, language, packing, passages, quality, secret_scan, simhash, token_count, topk, word_runs,
+    ball_search, bpe, caps, language, packing, passages, quality, secret_scan, simhash, suffix_dedup, token_count, topk,
+    word_runs,
 )
 from syndica.llm.common import crc_of
 
@@ -92,6 +93,11 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeat_digests(suffix_dedup.find_repeats(table(spark, sf_dir, "documents")))
+
+
 @query
 def op12_ball_search(spark, sf_dir):
     return ball_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
