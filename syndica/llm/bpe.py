@@ -68,13 +68,13 @@ class RankQueue:
 class Codec:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 400_000):
+    def __init__(self, path: str, pattern: str, memo: int = 300_000):
         self.ranks = load_ranks(path)
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)  # empty between calls
         self.split = regex.compile(pattern).findall
         self.words = Memo(self._packed_word, memo)
-        self.parts = Memo(self._packed_piece)
+        self.parts = Memo(self._packed_piece, memo)
 
     def encode_word(self, word: bytes) -> list[int]:
         """Token ids of one pre-token."""
