@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from syndica.llm.common import pick, sliced
-from syndica.llm.pieces import Memo, spaced_pieces, split_pieces
 from syndica.llm.token_count import load_vocabulary
 from syndica.session import materialize
 
@@ -41,17 +40,16 @@ END_ID = 2
 
 
 class Ids:
-    """Packed token ids of texts as the tokenizers library gives them, equal pieces encoded once.
+    """Packed token ids of texts as the tokenizers library gives them.
 
-    A byte-level vocabulary's merges, in their order, are ranks too, and tiktoken applies those to
-    single pieces several times faster; the tests compare both. Pieces that hold a special string,
-    and files of another kind, go through tokenizers itself.
+    A byte-level vocabulary's merges, in their order, are ranks too, and tiktoken applies those to a
+    whole text several times faster; the tests compare both. Texts that hold a special string, and files of
+    another kind, go through tokenizers itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism here
         self.path, self._tokenizer = path, None
-        self.known = Memo(self._ids)
         self.special: tuple[str, ...] = ()
         self.ranked = None
         with open(path, encoding="utf-8") as f:
@@ -66,7 +64,7 @@ class Ids:
             texts = {i: t for t, i in vocabulary.tokens.items()}
             merged = [token for _, token in sorted(vocabulary.merges.values())]
             order = [i for t, i in vocabulary.tokens.items() if len(t) == 1] + merged
-            self.ids = np.array(order, np.uint32)
+            self.ids = np.array(order, "<u4")
             self.ranked = tiktoken.Encoding(
                 "merges", pat_str=public_tokenizers.PATTERN, special_tokens={},
                 mergeable_ranks={texts[i]: rank for rank, i in enumerate(order)})
@@ -79,21 +77,12 @@ class Ids:
             self._tokenizer = Tokenizer.from_file(self.path)
         return self._tokenizer
 
-    def _ids(self, piece: str) -> bytes:
-        if self.ranked is None or any(s in piece for s in self.special):
-            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.ids[self.ranked.encode_ordinary(piece)].astype("<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
-        if self.ranked is None:  # nothing is known of what such a file looks across
-            return self._ids(text)
-        parts = spaced_pieces(text)
-        if parts is None:
-            parts = split_pieces(text)
-        else:
-            parts[1:] = [" " + p for p in parts[1:]]
-        known = self.known
-        return b"".join([known[p] for p in parts])
+        if not text:
+            return b""
+        if self.ranked is None or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.ids[self.ranked.encode_ordinary(text)].tobytes()
 
 
 @lru_cache(maxsize=2)
