@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -37,14 +38,15 @@ from syndica.session import materialize
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 END_ID = 2
+_LONG_SPACE = re.compile(r"\s{50000}")
 
 
 class Ids:
     """Packed token ids of texts as the tokenizers library gives them.
 
     A byte-level vocabulary's merges, in their order, are ranks too, and tiktoken applies those to a
-    whole text several times faster; the tests compare both. Texts that hold a special string, and files of
-    another kind, go through tokenizers itself.
+    whole text several times faster; the tests compare both. Texts that hold a special string or white
+    space in a row that its patterns cannot take, and files of another kind, go through tokenizers itself.
     """
 
     def __init__(self, path: str):
@@ -80,7 +82,7 @@ class Ids:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.ranked is None or any(s in text for s in self.special):
+        if self.ranked is None or any(s in text for s in self.special) or _LONG_SPACE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.ids[self.ranked.encode_ordinary(text)].tobytes()
 

@@ -7,6 +7,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -195,3 +196,11 @@ def test_fillings_equal_packing_one_by_one():
 def test_cut():
     assert packing.cut(3, 4) == [(0, 3)] and packing.cut(4, 4) == [(0, 4)]
     assert packing.cut(9, 4) == [(0, 1), (1, 4), (5, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)]
+
+
+def test_ids_of_odd_texts_are_those_of_the_library():
+    own = packing.encoder(public_tokenizers.path(packing.VOCABULARY))
+    for text in ("", " " * 300_000 + "a", "\n" * 60_000, "x" * 40_000, "it's we'LL 12 34½ \x1c\x1d a  \n\n b",
+                 "a <|endoftext|> b", "é" * 5_000, "\u3000" * 70_000 + "1"):
+        ids = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids
