@@ -41,6 +41,14 @@ def packed_rows(vectors: DataFrame, vec_id: str, embedding: str, transform=None)
     return rows.mapInArrow(run, f"vec_id {id_type}, key binary"), dtype
 
 
+def directions(keys, dtype: np.dtype) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, as squares of very small or
+    large ones are no doubles."""
+    x = matrix(keys, dtype)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def matrix(keys, dtype: np.dtype) -> np.ndarray:
     """Rows of equal length as one float64 matrix."""
     keys = list(keys)

@@ -122,6 +122,14 @@ def test_cap_filters(spark, vectors):
     assert caps.near_vectors(_vectors(spark, vectors).limit(0)).collect() == []
 
 
+def test_links_of_tiny_and_huge_components(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [2e-200, 2e-200]), (3, [1e200, 1e200]), (4, [1e200, -1e200]), (5, [5e-324, 0.0]),
+            (6, [1.0, 0.0]), (7, [0.0, 0.0])]
+    found = caps.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
 def test_recall_at_the_threshold_itself():
     code = caps.CapFilters(64, 5000)
     rng = np.random.default_rng(9)
