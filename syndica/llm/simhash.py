@@ -64,14 +64,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id",
                  text: str = "text") -> DataFrame:
-    """``(doc_id, fp bigint)`` of every row, without a shuffle."""
-    docs = pick(docs, doc_id=doc_id, text=text)
+    """``(doc_id, fp bigint, text_hash bigint)`` of every row, without a shuffle."""
+    docs = pick(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text"))
 
     def run(batch):
         found = [fingerprint(t or "", shingle) for t in batch["text"]]
-        return {"doc_id": batch["doc_id"], "fp": [f - (1 << 64) if f >> 63 else f for f in found]}
+        return {"doc_id": batch["doc_id"], "fp": [f - (1 << 64) if f >> 63 else f for f in found],
+                "text_hash": batch["text_hash"]}
 
-    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return map_batches(
+        docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint, text_hash bigint")
 
 
 def _octet(fp: Column, i: int) -> Column:
@@ -138,8 +140,8 @@ def near_links(fps: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE,
                     doc_id: str = "doc_id", text: str = "text",
                     max_list: int = MAX_LIST) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``: fingerprints as 16 hex digits, components named
-    by their smallest id."""
+    """``(doc_id, fingerprint, component_id, text_hash)``: fingerprints as 16 hex digits, components
+    named by their smallest id; with the id, the hash (Spark's xxhash64) names a row's text."""
     rows = materialize(fingerprints(docs, shingle, doc_id, text), "fingerprints")
     distinct = materialize(
         rows.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("first")),
@@ -151,4 +153,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE,
     of_fp = member.join(named, "component").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(of_fp, F.col("fp") == F.col("_fp"), "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "text_hash")
+
+
+def superfluous(found: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash)`` of the rows of ``near_duplicates`` to drop so that one of each component stays.
+
+    The row with the smallest id stays, of several texts with that id the one of least hash. Equal
+    rows (same id, same text) stay or go together.
+    """
+    first = found.where("doc_id = component_id").groupBy("component_id").agg(
+        F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most").select(
+        F.col("component_id").alias("_id"), "least")
+    others = found.where("doc_id = component_id").join(first, F.col("doc_id") == F.col("_id")).where(
+        "text_hash <> least").select("doc_id", "text_hash")
+    return found.where("doc_id <> component_id").select("doc_id", "text_hash").unionByName(others).distinct()
