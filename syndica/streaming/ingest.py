@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from syndica.operators.items import new_items
+from syndica.operators.items import keep_first, listing_order
 from syndica.schemas import ITEM_COLUMNS, ITEMS
 from syndica.session import ship_package
+from syndica.streaming import seen
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
@@ -27,19 +28,28 @@ def read_published(spark: SparkSession, path: str) -> DataFrame:
 
 
 def start_item_ingest(pages: DataFrame, extract: Callable[[DataFrame], DataFrame],
-                      published_path: str, checkpoint: str, trigger: dict | None = None
-                      ) -> StreamingQuery:
+                      published_path: str, checkpoint: str, trigger: dict | None = None,
+                      keys_path: str | None = None, compact_every: int = 16) -> StreamingQuery:
     """Append the unseen items of each micro-batch of pages to the published table.
 
-    A batch writes its own partition and compares itself with earlier batches only, so a
-    batch that is run again after a failure replaces what it wrote before.
+    What was published is looked up in a store of keys beside the table (``seen``), of which a
+    batch reads only the part that may concern it. A batch writes its own partition and
+    compares itself with earlier batches only, so one that is run again after a failure replaces
+    what it wrote before. A table that has no store yet gets one.
     """
+    keys_path = keys_path or f"{published_path.rstrip('/')}_keys"
+
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = read_published(spark, published_path).filter(F.col("batch_id") < batch_id)
-        # what was published is unique by key, so the history needs no distinct
-        fresh = new_items(extract(batch), earlier, published_once=True).select(*ITEM_COLUMNS)
-        fresh.write.mode("overwrite").parquet(f"{published_path}/batch_id={batch_id}")
+        out = f"{published_path}/batch_id={batch_id}"
+        if batch_id and not seen.stored(spark, keys_path):
+            seen.seed(spark, keys_path, read_published(spark, published_path).filter(F.col("batch_id") < batch_id))
+        if batch_id and batch_id % compact_every == 0:
+            seen.compact(spark, keys_path, batch_id)
+        found = extract(batch)
+        firsts = keep_first(found, list(seen.KEYS), listing_order(found))
+        seen.unseen(spark, keys_path, firsts, batch_id).select(*ITEM_COLUMNS).write.mode("overwrite").parquet(out)
+        seen.record(spark, keys_path, spark.read.schema(ITEMS).parquet(out), batch_id)
 
     return (
         pages.writeStream.foreachBatch(publish)

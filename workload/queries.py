@@ -13,7 +13,7 @@ from syndica.operators.ranges import ordinals
 from syndica.plans import build, dispatch, feeds, links, listing, probe, publish
 from syndica.session import scratch_path
 from syndica.sources import catalog, pages as page_source
-from syndica.streaming import ingest, state
+from syndica.streaming import ingest, seen, state
 from workload import render
 from workload.tables import (
     event_items, event_log, landed_pages, order_items, table, time_text,
@@ -1308,6 +1308,26 @@ def stream_items(spark, sf_dir):
     return ingest.read_published(spark, published).select("feed_key", "guid")
 
 
+@query("seen_batches", """
+WITH e AS (SELECT event_type AS feed_key, 'u' || user_id AS guid,
+                  event_id * 6 // (SELECT max(event_id) + 1 FROM events) AS batch_id FROM events)
+SELECT feed_key, guid, CAST(min(batch_id) AS BIGINT) AS batch_id FROM e GROUP BY 1, 2
+""")
+def seen_batches(spark, sf_dir):
+    """Six batches against the store of keys, folded twice; two of them run again afterwards."""
+    path, out = scratch_path(spark, "seen"), scratch_path(spark, "seen-published")
+    events = event_items(spark, sf_dir).select(
+        "feed_key", "guid", F.regexp_extract("title", "[0-9]+", 0).cast("bigint").alias("event_id"))
+    end = events.agg(F.max("event_id")).first()[0] + 1
+    for batch in (0, 1, 2, 3, 2, 4, 5, 4):
+        if batch in (2, 5):
+            seen.compact(spark, path, batch, keys_per_bucket=64)
+        keys = events.filter(F.expr(f"event_id * 6 div {end} = {batch}")).select("feed_key", "guid").distinct()
+        seen.unseen(spark, path, keys, batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch}")
+        seen.record(spark, path, spark.read.parquet(f"{out}/batch_id={batch}"), batch)
+    return spark.read.schema("feed_key string, guid string, batch_id bigint").parquet(out)
+
+
 @query("stream_dedup", """
 SELECT DISTINCT event_type AS feed_key, 'u' || user_id AS guid FROM events
 """)
