@@ -75,6 +75,21 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
+def remove_partitions(spark: SparkSession, path: str, is_old) -> None:
+    """Remove the folders ``name=<number>`` below ``path`` whose number ``is_old``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(at) if files.exists(at) else ():
+        value = status.getPath().getName().partition("=")[2]
+        if value.isdigit() and is_old(int(value)):
+            files.delete(status.getPath(), True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df`` (no job is run); None when unknown.
 

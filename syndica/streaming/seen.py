@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syndica.session import materialize
+from syndica.session import materialize, path_exists, remove_partitions
 
 KEYS = ("feed_key", "guid")
 BUCKETS = 16  # to begin with
@@ -71,8 +71,7 @@ def read_manifest(spark: SparkSession, path: str) -> Manifest | None:
 
 def stored(spark: SparkSession, path: str) -> bool:
     """Whether any batch has left its keys here."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return path_exists(spark, path)
 
 
 def _hashed(df: DataFrame, keys: tuple[str, ...], buckets: int) -> DataFrame:
@@ -195,17 +194,6 @@ def _drop(spark: SparkSession, path: str, through: int, previous: Manifest | Non
     """Remove deltas folded by the compaction before this one, and generations that neither names."""
     now = read_manifest(spark, path)
     named = {g for m in (now, previous) if m for g, _ in m.held.values()}
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def old(folder, is_old):
-        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
-        for status in files.listStatus(at) if files.exists(at) else ():
-            name, _, value = status.getPath().getName().partition("=")
-            if value.isdigit() and is_old(int(value)):
-                files.delete(status.getPath(), True)
-
-    old("delta", lambda batch: batch <= through)
+    remove_partitions(spark, f"{path}/delta", lambda batch: batch <= through)
     for folder in ("base", "bloom"):
-        old(folder, lambda gen: gen not in named and gen < now.gen)
+        remove_partitions(spark, f"{path}/{folder}", lambda gen: gen not in named and gen < now.gen)

@@ -13,7 +13,7 @@ from syndica.operators.ranges import ordinals
 from syndica.plans import build, dispatch, feeds, links, listing, probe, publish
 from syndica.session import scratch_path
 from syndica.sources import catalog, pages as page_source
-from syndica.streaming import ingest, seen, state
+from syndica.streaming import ingest, seen, state, transitions
 from workload import render
 from workload.tables import (
     event_items, event_log, landed_pages, order_items, table, time_text,
@@ -1388,3 +1388,41 @@ def stream_feed_state(spark, sf_dir):
     state.start_feed_state(stream, out, scratch_path(spark, "state-checkpoint")).awaitTermination()
     now = F.expr("timestamp'2024-01-31 00:00:00'")
     return state.read_feed_state(spark, out, now, 20000, 50000).select("feed_key", "state")
+
+
+@query("feed_transitions", f"""
+WITH log AS (SELECT 'u' || user_id AS feed_key, ts, event_type <> 'error' AS ok FROM events),
+     points AS (SELECT feed_key, ts AS moment FROM log
+                UNION SELECT feed_key, ts + INTERVAL (CASE WHEN ok THEN 9000 ELSE 30000 END) SECOND FROM log),
+     told AS (SELECT feed_key, ts AS moment, CASE WHEN ok THEN ts END AS ok_ts, CASE WHEN NOT ok THEN ts END AS fail_ts FROM log
+              UNION ALL SELECT feed_key, moment, NULL, NULL FROM points),
+     run AS (SELECT feed_key, moment, max(ok_ts) OVER w AS ok_at, max(fail_ts) OVER w AS fail_at FROM told
+             WINDOW w AS (PARTITION BY feed_key ORDER BY moment RANGE UNBOUNDED PRECEDING)),
+     states AS (SELECT DISTINCT feed_key, moment, {_RULE.format(now="moment", ttl=9000, retry=30000)} AS state FROM run),
+     changes AS (SELECT *, lag(state, 1, 'due') OVER (PARTITION BY feed_key ORDER BY moment) AS previous FROM states)
+SELECT feed_key, strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS "at", state, previous FROM changes WHERE state <> previous
+""")
+def feed_transitions(spark, sf_dir):
+    """Results in three files by time, then two ticks of the clock after all of them have expired."""
+    landed, out = scratch_path(spark, "results"), scratch_path(spark, "transitions")
+    log = event_log(spark, sf_dir).select("feed_key", "at", "ok")
+    for part in (F.col("at") < F.lit("2024-01-11"), F.col("at").between("2024-01-11", "2024-01-21"),
+                 F.col("at") > F.lit("2024-01-21")):  # files are read in the order in which they land
+        log.filter(part).coalesce(1).write.mode("append").parquet(landed)
+    end = log.agg(F.max("at").alias("end"))
+    for days in (30, 31):
+        tick = end.select(F.lit("").alias("feed_key"), F.expr(f"end + INTERVAL {days} DAYS").alias("at"),
+                          F.lit(None).cast("boolean").alias("ok"))
+        tick.coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, transitions.PROVIDER)
+    try:
+        transitions.feed_transitions(stream, 9000, 30000).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", scratch_path(spark, "transitions-checkpoint")).trigger(availableNow=True).start(
+        ).awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    found = spark.read.schema(transitions.TRANSITIONS).parquet(out)
+    return found.select("feed_key", time_text("at", micros=True), "state", "previous")
