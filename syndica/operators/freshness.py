@@ -73,21 +73,54 @@ def feed_state_asof(log: DataFrame, requests: DataFrame, ttl_s: int = TTL_S,
     )
 
 
-def last_good(results: DataFrame, content: str = "content") -> DataFrame:
+def content_asof(results: DataFrame, requests: DataFrame, sequence: str, content: str = "content",
+                 ttl_s: int = TTL_S, retry_s: int = RETRY_S) -> DataFrame:
+    """What each request ``(request_id, feed_key, at)`` is served: the last good content and its state.
+
+    ``results(feed_key, at, ok, <sequence>, <content>)``; of several at one instant the highest
+    sequence counts. What is carried over range borders is the time and sequence of a result; its
+    content is fetched for results that are served, and for no other.
+    """
+    no = F.lit(None)
+    told = results.select("feed_key", "at", "ok", F.col(sequence).cast("bigint").alias("_seq"),
+                          F.lit(0).alias("_kind"), no.cast("bigint").alias("request_id"))
+    asked = requests.select("feed_key", "at", no.cast("boolean").alias("ok"), no.cast("bigint").alias("_seq"),
+                            F.lit(1).alias("_kind"), "request_id")
+    order = [F.col(c).asc() for c in ("at", "_kind", "_seq", "request_id")]
+    carried = running_max(told.unionByName(asked), ["feed_key"], order, {
+        "_good": F.when(F.col("ok"), F.struct("at", "_seq")), "last_fail": _fail_at(),
+    }).filter(F.col("_kind") == 1)
+    served = carried.select("request_id", "feed_key", "at", F.col("_good.at").alias("generated_at"),
+                            F.col("_good._seq").alias("_seq"), "last_fail")
+    good = results.filter("ok").select(
+        F.col("feed_key").alias("_feed"), F.col("at").alias("_at"), F.col(sequence).alias("_own"), content)
+    same = (F.col("feed_key") == F.col("_feed")) & (F.col("generated_at") == F.col("_at")) & (F.col("_seq") == F.col("_own"))
+    return served.join(good, same, "left").select(
+        "request_id", "feed_key", "at", content, "generated_at",
+        classify(F.col("at"), F.col("generated_at"), F.col("last_fail"), ttl_s, retry_s).alias("state"),
+    )
+
+
+def last_good(results: DataFrame, content: str = "content", sequence: str | None = None) -> DataFrame:
     """Last successful content per feed with its own time, stale after a later failure (T4).
 
-    The winning time is found on narrow rows; content is joined to it and neither sorted nor
-    aggregated. ``(feed_key, at)`` is the key of a result.
+    The winning result is found on narrow rows; content is joined to it and neither sorted nor
+    aggregated. Of several successes at one instant the highest ``sequence`` counts, without one the
+    content with the greatest hash; one row per feed in any case.
     """
+    rank = F.col(sequence) if sequence else F.xxhash64(content)
     times = (
         results.groupBy("feed_key")
-        .agg(F.max(_ok_at()).alias("generated_at"), F.max(_fail_at()).alias("_fail"))
-        .filter(F.col("generated_at").isNotNull())
+        .agg(F.max(F.when(F.col("ok"), F.struct(F.col("at"), rank.alias("rank")))).alias("_won"),
+             F.max(_fail_at()).alias("_fail"))
+        .filter(F.col("_won").isNotNull())
+        .select("feed_key", F.col("_won.at").alias("generated_at"), F.col("_won.rank").alias("_rank"), "_fail")
     )
     good = results.filter("ok").select(
-        F.col("feed_key").alias("_feed"), F.col("at").alias("_at"), content)
-    same = (F.col("feed_key") == F.col("_feed")) & (F.col("generated_at") == F.col("_at"))
-    return times.join(good, same).select(
+        F.col("feed_key").alias("_feed"), F.col("at").alias("_at"), rank.alias("_own"), content)
+    same = (F.col("feed_key") == F.col("_feed")) & (F.col("generated_at") == F.col("_at")) & (
+        F.col("_rank").eqNullSafe(F.col("_own")))
+    return times.join(good, same).dropDuplicates(["feed_key"]).select(
         "feed_key", content, "generated_at",
         F.coalesce(F.col("_fail") > F.col("generated_at"), F.lit(False)).alias("is_stale"),
     )

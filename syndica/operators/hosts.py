@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from syndica.functions.urls import host_file_name, url_host
 from syndica.operators.items import keep_last
-from syndica.operators.ranges import ordinals, previous
+from syndica.operators.ranges import ordinals, previous, running_sum
 from syndica.session import join_measured
 
 # Lowest request spacing of one host, in seconds.
@@ -42,7 +42,10 @@ def critical_first(critical: Column, *ties: str) -> list[Column]:
 
 def crawl_slots(sources: DataFrame, critical: Column, interval_s: int = MIN_INTERVAL_S
                 ) -> DataFrame:
-    """Start offset of each source when a host serves one request per interval."""
+    """Start offset of each source when a host serves one request per interval.
+
+    Every source takes one request; ``crawl_schedule`` gives those with several their room.
+    """
     placed = with_host(sources).withColumn("critical", critical)
     ranked = ordinals(
         placed, ["host"], critical_first(F.col("critical"), "source_ord"), "slot"
@@ -50,6 +53,28 @@ def crawl_slots(sources: DataFrame, critical: Column, interval_s: int = MIN_INTE
     return ranked.withColumn("offset_s", (F.col("slot") - 1) * interval_s)
 
 
+def request_budget(pages: Column, tries: Column) -> Column:
+    """Requests that a source may take: every page of its listing, each as often as it may be tried (F16)."""
+    return F.greatest(F.coalesce(pages, F.lit(1)), F.lit(1)) * F.greatest(F.coalesce(tries, F.lit(1)), F.lit(1))
+
+
+def crawl_schedule(sources: DataFrame, critical: Column, requests: Column, interval_s: int = MIN_INTERVAL_S
+                   ) -> DataFrame:
+    """When each source may start and must be done, if a host serves one request per interval.
+
+    A source holds its host for ``requests`` slots, so those after it start that much later:
+    ``first_slot`` counts the requests that the host serves before, ``offset_s`` to ``end_s`` is the
+    source's own time. A host with very many sources is no single task.
+    """
+    placed = with_host(sources).withColumns({
+        "critical": critical, "requests": F.greatest(F.coalesce(requests, F.lit(1)), F.lit(1)).cast("bigint")})
+    summed = running_sum(
+        placed, ["host"], critical_first(F.col("critical"), "source_ord"), F.col("requests"), "first_slot")
+    return summed.withColumns({
+        "offset_s": F.col("first_slot") * interval_s,
+        "end_s": (F.col("first_slot") + F.col("requests")) * interval_s})
+
+
 def request_spacing(fetch_log: DataFrame, min_interval_s: int = MIN_INTERVAL_S,
                     ties: tuple[str, ...] = ("url",)) -> DataFrame:
     """Gap to the previous request of the same host, flagged when too short.

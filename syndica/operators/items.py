@@ -248,7 +248,9 @@ def retry_outcome(attempts: DataFrame, critical_keys: list[str] | None = None,
                   critical_tries: int = 5, default_tries: int = 3) -> DataFrame:
     """Outcome per source of its first few attempts.
 
-    ``attempts(feed_key, attempt, ok, body, error_type)``; sources named critical get more.
+    ``attempts(feed_key, attempt, ok, body, error_type)``; sources named critical get more. An
+    attempt that is logged twice counts once: a success before a failure, of several successes
+    the body with the least hash.
     """
     allowed = F.when(
         F.col("feed_key").isin(critical_keys or []), F.lit(critical_tries)
@@ -259,15 +261,15 @@ def retry_outcome(attempts: DataFrame, critical_keys: list[str] | None = None,
         .groupBy("feed_key")
         .agg(
             F.bool_or("ok").alias("ok"),
-            F.min(F.when(good, F.col("attempt"))).alias("_won"),
+            F.min(F.when(good, F.struct("attempt", F.xxhash64("body").alias("hash")))).alias("_won"),
             F.max("attempt").alias("_last"),
-            F.max_by("error_type", F.when(~good, F.col("attempt"))).alias("last_error"),
+            F.max(F.when(~good, F.struct("attempt", "error_type"))).alias("_error"),
         )
     )
     bodies = attempts.filter("ok").select(
-        F.col("feed_key").alias("_feed"), F.col("attempt").alias("_attempt"), "body")
-    won = (F.col("feed_key") == F.col("_feed")) & (F.col("_won") == F.col("_attempt"))
-    return outcome.join(bodies, won, "left").select(
-        "feed_key", "ok", F.coalesce("_won", "_last").alias("attempts_used"), "body",
-        F.when(~F.col("ok"), F.col("last_error")).alias("last_error"),
+        F.col("feed_key").alias("_feed"), F.struct("attempt", F.xxhash64("body").alias("hash")).alias("_own"), "body")
+    won = (F.col("feed_key") == F.col("_feed")) & (F.col("_won") == F.col("_own"))
+    return outcome.join(bodies, won, "left").dropDuplicates(["feed_key"]).select(
+        "feed_key", "ok", F.coalesce("_won.attempt", "_last").alias("attempts_used"), "body",
+        F.when(~F.col("ok"), F.col("_error.error_type")).alias("last_error"),
     )

@@ -108,3 +108,14 @@ def running_max(df: DataFrame, keys: list[str], order: list[Column],
             for n in values
         ],
     )
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over the rows of the same key that stand before the row (0 for the first)."""
+    columns = df.columns
+    ranged = split_ranges(df.withColumn("_v", value), keys, order)
+    starts = _blocks(ranged, keys, F.sum("_v").alias("_s")).withColumn(
+        "_carry", F.coalesce(F.sum("_s").over(_earlier_ranges(keys)), F.lit(0)))
+    inside = Window.partitionBy(RANGE, *keys).orderBy(ROW).rowsBetween(Window.unboundedPreceding, -1)
+    return _attach(ranged, starts, keys).select(
+        *columns, (F.col("_carry") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).alias(name))

@@ -187,3 +187,12 @@ def test_rules_of_sources_and_pages_that_never_landed(spark):
     whole = landed.unionByName(spark.createDataFrame([(f, 2) for f in ("one", "two", "all")], "feed_key string, page_seq int"))
     gone = {r.feed_key: r.page_seq for r in items.missing_pages(found, whole, rule).collect()}
     assert gone == {"two": 4, "all": 4}
+
+
+def test_an_attempt_logged_twice_counts_once(spark):
+    rows = [("a", 1, False, None, "E1"), ("a", 2, True, "x", None), ("a", 2, True, "x", None), ("a", 2, True, "y", None),
+            ("b", 1, True, "z", None), ("b", 1, False, None, "E"), ("c", 1, False, None, "E1"), ("c", 1, False, None, "E2")]
+    df = spark.createDataFrame(rows, "feed_key string, attempt int, ok boolean, body string, error_type string")
+    got = {r.feed_key: (r.ok, r.attempts_used, r.body, r.last_error) for r in items.retry_outcome(df).collect()}
+    assert items.retry_outcome(df).count() == 3 and got["a"][2] in "xy"
+    assert got == {"a": (True, 2, got["a"][2], None), "b": (True, 1, "z", None), "c": (False, 1, None, "E2")}

@@ -137,6 +137,16 @@ def test_last_good_and_aggregates(spark):
     assert agg == {"m": (2, 1, True, True), "n": (2, 0, False, False)}
 
 
+def test_successes_of_one_instant_give_one_row(spark):
+    rows = [("a", 5, True, 1, "one"), ("a", 5, True, 3, "three"), ("a", 5, True, 3, "three"), ("a", 5, True, 2, "two"),
+            ("a", 5, False, 4, None), ("b", 1, True, 1, "b"), ("c", 1, False, 1, None)]
+    df = spark.createDataFrame(rows, "feed_key string, s int, ok boolean, seq bigint, content string").select(
+        "feed_key", F.timestamp_seconds("s").alias("at"), "ok", "seq", "content")
+    got = sorted((r.feed_key, r.content, r.is_stale) for r in freshness.last_good(df, sequence="seq").collect())
+    assert got == [("a", "three", False), ("b", "b", False)]
+    assert sorted(r.feed_key for r in freshness.last_good(df).collect()) == ["a", "b"]
+
+
 def test_ingest_publishes_only_new_items(spark, tmp_path, pages):
     from syndica.plans.links import extract_links
 

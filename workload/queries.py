@@ -590,6 +590,22 @@ def crawl_slots(spark, sf_dir):
     return ranked.select("key", "host", "slot", "offset_s")
 
 
+@query("crawl_schedule", f"""
+WITH s AS (SELECT *, CAST((1 + s_suppkey % 4) * CASE WHEN s_suppkey % 5 = 2 THEN 5 ELSE 3 END AS BIGINT) AS requests
+           FROM supplier WHERE {_VALID_SOURCE}),
+     w AS (SELECT *, CAST(coalesce(sum(requests) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 5 = 2 DESC, s_suppkey
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_slot FROM s)
+SELECT 's' || s_suppkey AS key, requests, first_slot, first_slot * 10 AS offset_s, (first_slot + requests) * 10 AS end_s FROM w
+""")
+def crawl_schedule(spark, sf_dir):
+    """Sources of one to four pages; critical ones may try each five times, others three times."""
+    critical = F.col("parser_kind") == "mzt"
+    pages = 1 + F.regexp_extract("key", "[0-9]+", 0).cast("bigint") % 4
+    placed = hosts.crawl_schedule(
+        _sources(spark, sf_dir), critical, hosts.request_budget(pages, F.when(critical, 5).otherwise(3)))
+    return placed.select("key", "requests", "first_slot", "offset_s", "end_s")
+
+
 @query("request_spacing", """
 WITH g AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
 SELECT event_id, 'u' || user_id AS host, (epoch_us(ts) - epoch_us(p)) / 1000000.0 AS gap_s,
@@ -1267,6 +1283,39 @@ def last_good(spark, sf_dir):
     )
 
 
+@query("last_good_ties", """
+WITH e AS (SELECT *, date_trunc('day', ts) AS day FROM events)
+SELECT 'u' || user_id AS feed_key, arg_max(props, (day, event_id)) FILTER (event_type <> 'error') AS content,
+       strftime(max(day) FILTER (event_type <> 'error'), '%Y-%m-%d %H:%M:%S') AS generated_at,
+       coalesce(max(day) FILTER (event_type = 'error') > max(day) FILTER (event_type <> 'error'), false) AS is_stale
+FROM e GROUP BY user_id HAVING count(*) FILTER (event_type <> 'error') > 0
+""")
+def last_good_ties(spark, sf_dir):
+    """Results that are dated to the day, so that several stand at one instant."""
+    results = event_log(spark, sf_dir).withColumn("at", F.date_trunc("day", "at"))
+    return freshness.last_good(results, "props", "event_id").select(
+        "feed_key", F.col("props").alias("content"), time_text("generated_at"), "is_stale")
+
+
+@query("content_asof", f"""
+WITH e AS (SELECT *, date_trunc('hour', ts) AS hour FROM events),
+     q AS (SELECT event_id AS request_id, user_id, hour FROM e WHERE event_type = 'purchase'),
+     s AS (SELECT q.request_id, q.user_id, q.hour, max(r.hour) FILTER (r.event_type <> 'error') AS ok_at,
+                  max(r.hour) FILTER (r.event_type = 'error') AS fail_at,
+                  arg_max(r.props, (r.hour, r.event_id)) FILTER (r.event_type <> 'error') AS content
+           FROM q LEFT JOIN (SELECT * FROM e WHERE event_type <> 'purchase') r
+             ON r.user_id = q.user_id AND r.hour <= q.hour GROUP BY ALL)
+SELECT request_id, 'u' || user_id AS feed_key, content, {_RULE.format(now="hour", ttl=9000, retry=30000)} AS state FROM s
+""")
+def content_asof(spark, sf_dir):
+    """Purchases ask for what their user's feed last gave; all are dated to the hour."""
+    log = event_log(spark, sf_dir).withColumn("at", F.date_trunc("hour", "at"))
+    requests = log.filter("event_type = 'purchase'").withColumnRenamed("event_id", "request_id")
+    results = log.filter("event_type <> 'purchase'")
+    return freshness.content_asof(results, requests, "event_id", "props", 9000, 30000).select(
+        "request_id", "feed_key", F.col("props").alias("content"), "state")
+
+
 @query("aggregate_state", """
 WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal > 0 AS up, c_mktsegment = 'BUILDING' AS old
            FROM customer WHERE c_custkey % 6 <> 0)
