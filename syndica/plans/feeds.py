@@ -20,7 +20,13 @@ def extract_feed_items(docs: DataFrame, max_items: int | None = None, prefix: st
     """Items of RSS or Atom documents; each field is the first non-empty of its fallbacks."""
     if max_items is not None and max_items <= 0:
         docs = docs.limit(0)
-    records = feed_records(docs.filter(~is_blank(F.col("html"))), keep=PAGE_KEYS)
+    return items_of_records(feed_records(docs.filter(~is_blank(F.col("html"))), keep=PAGE_KEYS), max_items, prefix)
+
+
+def items_of_records(records: DataFrame, max_items: int | None = None, prefix: str = "rss") -> DataFrame:
+    """The same from records that were parsed before, with the columns ``PAGE_KEYS``."""
+    if max_items is not None and max_items <= 0:
+        records = records.limit(0)
     fields = computed(records, [*PAGE_KEYS, "pos"], {
         "title": child_text("title"),
         "href": first_non_empty(child_text("link"), child_href("link")),

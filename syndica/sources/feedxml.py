@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterable, Iterator
-from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -51,8 +50,8 @@ def _children(node) -> list[dict]:
     ]
 
 
-def _records(body: str | None) -> list[list[dict]]:
-    """Metadata children of every record, in document order; none if the document is malformed.
+def _records(body: str | None) -> list[list[dict]] | None:
+    """Metadata children of every record, in document order; None if the document is malformed.
 
     Pulled piece by piece: elements are dropped once they end outside every open record, so
     memory holds the records' fields and not the document's tree.
@@ -87,72 +86,71 @@ def _records(body: str | None) -> list[list[dict]]:
         parser.close()
         consume(parser)
     except (ElementTree.ParseError, ValueError):
-        return []
+        return None
     return found
 
 
-def feed_records(docs: DataFrame, keep: Iterable[str] = ("page_id",), body_col: str = "html"
-                 ) -> DataFrame:
-    """One row per item or entry, in document order, with its metadata children."""
+def feed_rows(docs: DataFrame, keep: Iterable[str] = ("page_id",), body_col: str = "html") -> DataFrame:
+    """Records and failures of one parse: a row ``(*keep, pos, children, failed)`` per item or entry, in
+    document order, or one with ``failed`` for a document that is no well-formed XML.
+
+    Blank documents have neither.
+    """
     ship_package(docs.sparkSession)
     keep = list(keep)
     source = spread(docs.select(*keep, body_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, position, children = [], [], []
+            owner, position, children, failed = [], [], [], []
 
             def emit():
                 index = pa.array(owner, pa.int32())
                 columns = [batch.column(i).take(index) for i in range(len(keep))]
                 columns += [pa.array(position, pa.int32()),
-                            pa.array(children, pa.list_(_ARROW_CHILD))]
-                return pa.RecordBatch.from_arrays(columns, names=keep + ["pos", "children"])
+                            pa.array(children, pa.list_(_ARROW_CHILD)), pa.array(failed, pa.bool_())]
+                return pa.RecordBatch.from_arrays(columns, names=keep + ["pos", "children", "failed"])
 
             bodies = batch.column(len(keep))
             for i in range(batch.num_rows):
-                for at, found in enumerate(_records(bodies[i].as_py())):
+                records = _records(bodies[i].as_py())
+                for at, found in enumerate([None] if records is None else records):
                     owner.append(i)
                     position.append(at)
                     children.append(found)
+                    failed.append(records is None)
                     if len(owner) >= _BATCH_ROWS:
                         yield emit()
-                        owner, position, children = [], [], []
+                        owner, position, children, failed = [], [], [], []
             if owner:
                 yield emit()
 
     schema = T.StructType(
         [source.schema[c] for c in keep]
-        + [T.StructField("pos", T.IntegerType()), T.StructField("children", T.ArrayType(_CHILD))]
+        + [T.StructField("pos", T.IntegerType()), T.StructField("children", T.ArrayType(_CHILD)),
+           T.StructField("failed", T.BooleanType())]
     )
     return source.mapInArrow(run, schema)
 
 
+def feed_records(docs: DataFrame, keep: Iterable[str] = ("page_id",), body_col: str = "html"
+                 ) -> DataFrame:
+    """One row per item or entry, in document order, with its metadata children."""
+    return records_of(feed_rows(docs, keep, body_col))
+
+
+def records_of(rows: DataFrame) -> DataFrame:
+    return rows.filter(~F.col("failed")).drop("failed")
+
+
 def unreadable_feeds(docs: DataFrame, keep: Iterable[str] = ("page_id",), body_col: str = "html"
                      ) -> DataFrame:
     """Documents that are no well-formed XML, ``(*keep, error_type)``; blank ones are not counted."""
-    ship_package(docs.sparkSession)
-    keep = list(keep)
-    source = docs.select(*keep, body_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = pa.array([_malformed(body) for body in batch.column(len(keep)).to_pylist()], pa.bool_())
-            yield batch.filter(bad).select(keep)
-
-    found = source.mapInArrow(run, T.StructType([source.schema[c] for c in keep]))
-    return found.withColumn("error_type", F.lit("UnreadableXml"))
+    return failures_of(feed_rows(docs, keep, body_col), keep)
 
 
-def _malformed(body: str | None) -> bool:
-    if not body or not body.strip():
-        return False
-    parser = expat.ParserCreate()
-    try:
-        parser.Parse(body, True)
-    except (expat.ExpatError, ValueError):
-        return True
-    return False
+def failures_of(rows: DataFrame, keep: Iterable[str] = ("page_id",)) -> DataFrame:
+    return rows.filter("failed").select(*keep, F.lit("UnreadableXml").alias("error_type"))
 
 
 def child_text(name: str) -> Column:

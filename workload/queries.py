@@ -1029,20 +1029,8 @@ def publish_snapshot(spark, sf_dir):
     )
 
 
-@query("build_feeds", f"""
-WITH b AS ({_LISTING_B.format(where="AND o_orderkey % 3 = 0", limit=100)}),
-     shown AS (SELECT guid FROM b),
-     g AS (SELECT (p_partkey // 40) % 2 AS feed, CAST(p_partkey AS VARCHAR) AS album FROM part
-           UNION SELECT 1, '9' || p_partkey FROM part WHERE (p_partkey // 40) % 2 = 1 AND p_partkey % 4 = 0)
-SELECT 'forum-b' AS feed_key, CAST(count(*) AS BIGINT) AS n_items FROM shown
-UNION ALL SELECT 'gallery', count(*) FROM g
-UNION ALL SELECT 'atom', count(*) FROM orders
-UNION ALL SELECT 'all', (SELECT count(DISTINCT album) FROM g) + (SELECT count(*) FROM orders)
-UNION ALL SELECT 'failed', 1
-UNION ALL SELECT 'opml', 6
-""")
-def build_feeds(spark, sf_dir):
-    """One run from landed pages to documents; counts of what it publishes."""
+def _build_input(spark, sf_dir):
+    """Pages of three dialects and their sources, one of which gave nothing, and a merged feed."""
     pages = None
     for make in (render.listing_b_pages, render.gallery_pages, render.atom_pages):
         part = make(spark, sf_dir).filter("page_id < 1000000000").select(
@@ -1065,6 +1053,24 @@ def build_feeds(spark, sf_dir):
         (k == "forum-b").alias("images_only"), F.when(k == "forum-b", 1).alias("empty_pages"),
     )
     merged = {"all": {"prefix": "/gallery/", "title": "All", "source_url": "https://p.example/", "url": "https://p.example/all"}}
+    return pages, sources, merged
+
+
+@query("build_feeds", f"""
+WITH b AS ({_LISTING_B.format(where="AND o_orderkey % 3 = 0", limit=100)}),
+     shown AS (SELECT guid FROM b),
+     g AS (SELECT (p_partkey // 40) % 2 AS feed, CAST(p_partkey AS VARCHAR) AS album FROM part
+           UNION SELECT 1, '9' || p_partkey FROM part WHERE (p_partkey // 40) % 2 = 1 AND p_partkey % 4 = 0)
+SELECT 'forum-b' AS feed_key, CAST(count(*) AS BIGINT) AS n_items FROM shown
+UNION ALL SELECT 'gallery', count(*) FROM g
+UNION ALL SELECT 'atom', count(*) FROM orders
+UNION ALL SELECT 'all', (SELECT count(DISTINCT album) FROM g) + (SELECT count(*) FROM orders)
+UNION ALL SELECT 'failed', 1
+UNION ALL SELECT 'opml', 6
+""")
+def build_feeds(spark, sf_dir):
+    """One run from landed pages to documents; counts of what it publishes."""
+    pages, sources, merged = _build_input(spark, sf_dir)
     run = build.build_feeds(pages, sources, merged, F.expr(_BUILT), page_items=None)
     path = scratch_path(spark, "build")
     build.write_build(run, path)
@@ -1081,6 +1087,23 @@ def build_feeds(spark, sf_dir):
     return written.unionByName(failed).unionByName(opml)
 
 
+@query("build_landed", f"""
+WITH b AS ({_LISTING_B.format(where="AND o_orderkey % 3 = 0", limit=100)}), g AS ({_GALLERY.replace("rank <= 35", "rank > 0")})
+SELECT 'forum-b' AS feed_key, guid FROM b
+UNION ALL SELECT DISTINCT CASE WHEN page_seq % 2 = 0 THEN 'gallery-1' ELSE 'gallery-0' END, guid FROM g
+UNION ALL SELECT 'atom', 'rss:tag:' || o_orderkey FROM orders
+""")
+def build_landed(spark, sf_dir):
+    """Pages land by dialect in three batches of a stream, and a build reads them where they lie."""
+    pages, sources, merged = _build_input(spark, sf_dir)
+    arrived, landed = scratch_path(spark, "arrived"), scratch_path(spark, "landed")
+    pages.repartition(3, "page_id").write.parquet(arrived)
+    stream = page_source.stream_pages(spark, arrived, files_per_trigger=1)
+    dispatch.start_landing(stream, sources, landed, scratch_path(spark, "landing-checkpoint")).awaitTermination()
+    run = build.build_feeds(page_source.read_pages(spark, landed), sources, merged, F.expr(_BUILT), landed=True)
+    return run.items.select("feed_key", "guid")
+
+
 @query("page_failures", """
 SELECT 'h' AS feed_key, page_id, 'UnreadableHtml' AS error_type FROM pages WHERE page_id % 5 = 1
 UNION ALL SELECT 'x', page_id, 'UnreadableXml' FROM pages WHERE page_id % 5 = 2
