@@ -333,7 +333,11 @@ def html_nodes(
 
 
 def register_html_nodes(spark: SparkSession, name: str = "html_nodes") -> None:
-    """Make ``LATERAL html_nodes(html)`` available to SQL."""
+    """Make ``LATERAL html_nodes(html)`` available to SQL.
+
+    Rows pass in Arrow batches. A table function of whole batches (``arrow_udtf``) would be no
+    use here, as Spark does not allow those in a lateral join.
+    """
     ship_package(spark)
     returns = T.StructType([T.StructField(n, t) for n, t in zip(NODE_FIELDS, _NODE_TYPES)])
 
@@ -344,7 +348,7 @@ def register_html_nodes(spark: SparkSession, name: str = "html_nodes") -> None:
                 row[10] = [(p["tag"], p["classes"], p["attr_id"]) for p in row[10] or ()]
                 yield tuple(row)
 
-    spark.udtf.register(name, F.udtf(HtmlNodes, returnType=returns))
+    spark.udtf.register(name, F.udtf(HtmlNodes, returnType=returns, useArrow=True))
 
 
 # --- predicates on one row -------------------------------------------------------------
