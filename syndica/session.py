@@ -75,19 +75,34 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
-def remove_partitions(spark: SparkSession, path: str, is_old) -> None:
-    """Remove the folders ``name=<number>`` below ``path`` whose number ``is_old``."""
+def _folder(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at, files = _folder(spark, path)
+    return files.exists(at)
+
+
+def _numbered_folders(spark: SparkSession, path: str):
+    at, files = _folder(spark, path)
     for status in files.listStatus(at) if files.exists(at) else ():
         value = status.getPath().getName().partition("=")[2]
-        if value.isdigit() and is_old(int(value)):
-            files.delete(status.getPath(), True)
+        if value.isdigit():
+            yield int(value), status.getPath(), files
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def partition_numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the folders ``name=<number>`` below ``path``, in order; none if it is not there."""
+    return sorted(number for number, _, _ in _numbered_folders(spark, path))
+
+
+def remove_partitions(spark: SparkSession, path: str, is_old) -> None:
+    """Remove the folders ``name=<number>`` below ``path`` whose number ``is_old``."""
+    for number, folder, files in list(_numbered_folders(spark, path)):
+        if is_old(number):
+            files.delete(folder, True)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

@@ -11,7 +11,7 @@ from syndica.functions import strings, urls
 from syndica.operators import freshness, hosts, htmltree, items
 from syndica.operators.ranges import ordinals
 from syndica.plans import build, dispatch, feeds, links, listing, probe, publish
-from syndica.session import scratch_path
+from syndica.session import materialize, scratch_path
 from syndica.sources import catalog, pages as page_source
 from syndica.streaming import ingest, seen, state, transitions
 from workload import render
@@ -1014,6 +1014,32 @@ def feed_runs(spark, sf_dir):
     return publish.current_feeds(spark, path).select("feed_key", "run", "n_items")
 
 
+@query("feed_runs_compacted", """
+WITH c AS (SELECT o_custkey, count(*) AS n_items FROM orders GROUP BY 1)
+SELECT a.as_of, 'c' || o_custkey AS feed_key, CAST(least(a.as_of, 1 + o_custkey % 5) AS INTEGER) AS run,
+       CAST(n_items AS BIGINT) AS n_items
+FROM c, (SELECT 3 AS as_of UNION ALL SELECT 4 UNION ALL SELECT 5) a
+""")
+def feed_runs_compacted(spark, sf_dir):
+    """Five runs of whole documents, each of fewer feeds, folded after the second, third and fifth;
+    read as of the last three."""
+    path = scratch_path(spark, "runs")
+    rows = order_items(spark, sf_dir)
+    parts = publish.rss_document_parts(rows, _feed_table(spark, sf_dir, rows), items.newest_first("pos"), F.expr(_BUILT))
+    parts = materialize(parts, "parts")
+    for run in range(1, 6):
+        own = parts.filter(F.regexp_extract("feed_key", "[0-9]+", 0).cast("bigint") % 5 >= run - 1)
+        publish.append_feed_run(own, path, run)
+        if run in (2, 3, 5):
+            publish.compact_feed_runs(spark, path, run)
+    found = None
+    for run in (3, 4, 5):
+        then = publish.current_feeds(spark, path, as_of=run).groupBy("feed_key", "run").agg(F.sum("n_items").alias("n_items"))
+        then = then.select(F.lit(run).alias("as_of"), "feed_key", "run", "n_items")
+        found = then if found is None else found.unionByName(then)
+    return found
+
+
 @query("publish_snapshot", """
 SELECT o_orderpriority AS title, count(*) AS n FROM orders GROUP BY 1
 """)
