@@ -38,6 +38,31 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def sliced_udf(fn: Callable[..., list], returns: str, rows: int = BATCH_ROWS) -> Callable[..., Column]:
+    """A column function out of ``fn``, which takes lists of a few rows' values and gives a list."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_type(_parse_datatype_string(returns))  # asks the session, which tasks have not
+
+    def run(columns: tuple[pa.Array, ...]) -> pa.Array:
+        made = [pa.array(fn(*(c.slice(at, rows).to_pylist() for c in columns)), kind)
+                for at in range(0, len(columns[0]), rows)]
+        return pa.concat_arrays(made) if made else pa.array([], kind)
+
+    @F.arrow_udf(returns)
+    def one(a: pa.Array) -> pa.Array:
+        return run((a,))
+
+    @F.arrow_udf(returns)
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return run((a, b))
+
+    return lambda *columns: (one, two)[len(columns) - 1](*columns)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

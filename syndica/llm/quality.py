@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syndica.llm.common import map_batches, pick
+from syndica.llm.common import map_batches, pick, sliced_udf
 from syndica.session import materialize
 
 FEATURES = 384
@@ -190,14 +190,13 @@ def fit(statistics_: DataFrame, labels: DataFrame, learn: Column, label: str = "
 
 def score_of(text: Column, model: Model | None) -> Column:
     """The score of a text column, for filters that should not move the texts."""
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if model is None or not len(texts):
-            return pd.Series(np.full(len(texts), 0.5))
+    def score(texts: list) -> list:
+        if model is None:
+            return [0.5] * len(texts)
         rows = np.array([statistics(t or "") for t in texts], np.float32)
-        return pd.Series(model.score(rows.astype(np.float64)))
+        return model.score(rows.astype(np.float64)).tolist()
 
-    return score(text)
+    return sliced_udf(score, "double")(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality",

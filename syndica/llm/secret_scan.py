@@ -18,12 +18,11 @@ import base64
 import re
 from functools import lru_cache
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syndica.llm.common import map_batches, pick
+from syndica.llm.common import map_batches, pick, sliced_udf
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BASE_KINDS = ("assign", "access", "hex")
@@ -141,8 +140,7 @@ def redacted(text: Column, mark: str, min_chars: int = MIN_CHARS, max_ratio: flo
     """A text column with ``mark`` in place of every span; NULL stays NULL."""
     path = path or public_tokenizers.path(VOCABULARY)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
+    def clean(texts: list) -> list:
         out = []
         for t in texts:
             if t:
@@ -150,9 +148,9 @@ def redacted(text: Column, mark: str, min_chars: int = MIN_CHARS, max_ratio: flo
                 found += random_spans(t, found, path, min_chars, max_ratio)
                 t = redact(t, found, mark) if found else t
             out.append(t)
-        return pd.Series(out, dtype=object)
+        return out
 
-    return clean(text)
+    return sliced_udf(clean, "string")(text)
 
 
 def find_secrets(docs: DataFrame, min_chars: int = MIN_CHARS, max_ratio: float = MAX_CHARS_PER_TOKEN,
