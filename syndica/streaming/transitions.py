@@ -15,10 +15,12 @@ log would leave where it is.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -94,7 +96,7 @@ class _Feed(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "at bigint", "ok boolean, fail boolean")
-        self.now = handle.getValueState("now", "last_ok bigint, last_fail bigint, state string")
+        self.now = handle.getValueState("now", "last_ok bigint, last_fail bigint, state string, until bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         earliest = None
@@ -111,7 +113,7 @@ class _Feed(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        last_ok, last_fail, state = self.now.get() if self.now.exists() else (None, None, "due")
+        last_ok, last_fail, state, until = self.now.get() if self.now.exists() else (None, None, "due", 0)
         waiting = sorted((k[0], v) for k, v in self.waiting.iterator())
         ready = [(at, v) for at, v in waiting if at <= limit]
         told: list[Row] = []
@@ -131,7 +133,7 @@ class _Feed(StatefulProcessor):
                 at = next_change(at, last_ok, last_fail, self.ttl, self.retry)
             return at
 
-        known = max((m for m in (last_ok, last_fail) if m is not None), default=0)
+        known = until  # what ended by itself up to then has been told
         for at, (ok, fail) in ready:
             expire(known, at)
             last_ok = at if ok else last_ok
@@ -140,7 +142,7 @@ class _Feed(StatefulProcessor):
             known = at
             self.waiting.removeKey((at,))
         following = expire(known, limit + 1)
-        self.now.update((last_ok, last_fail, state))
+        self.now.update((last_ok, last_fail, state, limit))
         later = [m for m in (following, waiting[len(ready)][0] if len(waiting) > len(ready) else None) if m is not None]
         if later:
             self.handle.registerTimer(-(-min(later) // 1000))
@@ -157,6 +159,8 @@ def feed_transitions(log: DataFrame, ttl_s: int = TTL_S, retry_s: int = RETRY_S,
     A feed begins as due. Results may be ``delay`` late. Needs the RocksDB state store:
     ``spark.sql.streaming.stateStore.providerClass`` set to ``PROVIDER``.
     """
+    # a stateful query starts a worker beside the driver, which is not sent the package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     ttl, retry = ttl_s * _SECOND, retry_s * _SECOND
     thinned = _thin(log.select("feed_key", "at", "ok"), ttl, retry)
     timed = thinned.withColumn("at_us", F.unix_micros("at")).withWatermark("at", delay)
