@@ -263,6 +263,94 @@ def test_verified_similarity_of_long_paragraphs(spark, docs):
     assert len({tuple(r.clusters) for r in found}) == 1
 
 
+def _planted(rng, edits, pairs=20, length=60):
+    """Pairs of texts that share a passage without punctuation, in words that no other text has."""
+    rows, spans = [], {}
+    for i in range(pairs):
+        passage = [f"p{rng.randrange(10**7)}" for _ in range(length)]
+        for copy in range(2):
+            held = list(passage)
+            if copy:
+                for k in range(edits):
+                    held[(k + 1) * length // (edits + 1)] = f"e{rng.randrange(10**7)}"
+            before, after = ([f"o{rng.randrange(10**7)}" for _ in range(rng.randrange(3, 80))] for _ in range(2))
+            rows.append((2 * i + copy, " ".join([*before, *held, *after])))
+            at = len(" ".join([*before, ""]))
+            spans[2 * i + copy] = (at, at + len(" ".join(held)))
+    return rows, spans
+
+
+@pytest.mark.parametrize("edits", [0, 1])
+def test_true_extents_of_passages(spark, docs, edits):
+    """Passages set into other words come out from their first to their last word, an edited word inside."""
+    rows, spans = _planted(random.Random(21 + edits), edits)
+    got = passages.find_repeats(docs(*rows)).collect()
+    exact = {r.doc_id for r in got if (r.start, r.end) == spans[r.doc_id]}
+    for r in got:
+        assert spans[r.doc_id][0] <= r.start < r.end <= spans[r.doc_id][1] and r.kept == (r.doc_id % 2 == 0)
+    # a passage, or what an edit leaves of one, may hold no whole paragraph of six words
+    assert len(exact) >= 0.9 * len(rows)
+    left = {r.doc_id: r.text for r in passages.remove_repeats(docs(*rows)).collect()}
+    for i, text in rows:
+        if i % 2 == 0:
+            assert left[i] == text
+        elif i in exact:
+            assert left[i].split() == (text[:spans[i][0]] + text[spans[i][1]:]).split()
+
+
+def test_every_long_repeat_against_brute_force(spark, docs):
+    """Words of repeats of over 50 words go, found by comparing all 51-word windows; the first copies stay."""
+    rng = random.Random(23)
+    pool = [[f"p{rng.randrange(10**7)}" for _ in range(rng.randrange(51, 120))] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += [f"o{rng.randrange(10**7)}" for _ in range(rng.randrange(4, 40))]
+            held = rng.choice(pool)
+            a = rng.randrange(0, 20)
+            words += held[a:] if rng.random() < 0.5 else held
+        rows.append((i, " ".join(words)))
+    long, small = 51, 25
+    got = {r.doc_id: r.text.split() for r in passages.remove_repeats(docs(*rows), min_words=small).collect()}
+    seen, must, gone, lost = set(), 0, 0, 0
+    for i, text in rows:
+        words = text.split()
+        grams = [tuple(words[k:k + long]) for k in range(len(words) - long + 1)]
+        covered = {j for k, g in enumerate(grams) if g in seen or g in grams[:k] for j in range(k, k + long)}
+        seen.update(grams)
+        left = set(got[i])
+        must += len(covered)
+        gone += sum(words[j] not in left or words.count(words[j]) > 1 for j in covered)
+        lost += sum(w not in left for w in words if w[0] == "o")
+    assert gone >= 0.97 * must > 2000
+    # own words inside a paragraph that is similar to another one as a whole go with it
+    assert lost <= 0.02 * sum(w[0] == "o" for _, text in rows for w in text.split())
+    everywhere = {w for words in got.values() for w in words}
+    assert {w for held in pool for w in held} & {w for _, text in rows for w in text.split()} <= everywhere
+
+
+def test_growing_and_bridging_alone():
+    grown = passages._grown([
+        {"left": "x B c ", "kept_left": "y b  c ", "right": " d E f", "kept_right": " d e g"},
+        {"left": "", "kept_left": None, "right": " 1 x 3 4 5 6 7 8 z", "kept_right": " 1 2 3 4 5 6 7 8 9 10"}])
+    way = lambda *v: dict(zip(("here", "there", "same", "own", "kept"), v))
+    none = [way(0, 0, 0, 0, 0)]
+    assert grown == [{"left": [way(2, 2, 2, 4, 5)], "right": [way(2, 2, 2, 4, 4)]},
+                     {"left": none, "right": [way(1, 1, 1, 2, 2), way(8, 8, 7, 16, 16)]}]
+    for words, reached in ((20, 1), (60, 8)):
+        run = {"words": words}
+        assert passages._ends_of({"run": run, **grown[1]}, 0.8)[1]["here"] == reached
+    text = " ".join(f"w{i}" for i in range(2000))
+    middle = text.index(" w1000 ") + 1
+    for low in (0, middle - 40):
+        around = passages._before(text, middle, low, 10**6)
+        assert around == text[low:middle]
+        assert text[:middle].endswith(passages._before(text, middle, low, 6))
+    assert passages._after(text, middle, len(text), 10**6) == text[middle:]
+    assert text[middle:].startswith(passages._after(text, middle, len(text), 6))
+
+
 def test_unrepeated_short_lines_stay(spark, docs):
     """A list of short lines between a repeated header and footer is text of its own."""
     rng = random.Random(13)
