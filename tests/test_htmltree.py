@@ -53,6 +53,41 @@ def test_deep_nesting_is_linear():
     assert rows[0][3] == 40001 and rows[0][9] == "end"
 
 
+def test_regular_pages_do_not_take_the_standard_parser(monkeypatch):
+    """The slow parser sees only what is left from the first irregular tag on, and gives the same rows."""
+    fed = []
+    feed = htmltree._Tokens.feed
+    monkeypatch.setattr(htmltree._Tokens, "feed", lambda self, data: (fed.append(data), feed(self, data))[1])
+    regular = ('<!DOCTYPE html><table><!--x--><tr CLASS="a b"><td id=\'i\'>1 &amp; 2 &#65;<img class="c" src="s" />'
+               '<br><a href="?x=1&amp;y=2" data-n>t</a></td></tr></table>')
+    rows = parse_page(regular + "<p>end</p>")
+    assert fed == []
+    odd = parse_page(regular + "<p >end</p><i a=b>")
+    assert fed == ["<i a=b>"] and odd[:len(rows)] == rows
+    for tag in ("script", "style"):
+        fed.clear()
+        page = f"<p>a<{tag}><p>no</{tag}>b</p>"
+        assert [r[9] for r in parse_page(page, tags=frozenset(["p"]))] == ["a b"] and fed == [page[4:]]
+    # references that are not closed, also in text that nobody wants, are the standard parser's
+    fed.clear()
+    parse_page("<p>a &lt b</p><a>c</a>", tags=frozenset(["a"]))
+    assert fed == ["a &lt b</p><a>c</a>"]
+
+
+def test_ended_void_elements_are_counted_not_searched():
+    """Void elements whose end tag may still come are counted per name: work stays linear in them."""
+    tokens = htmltree._Tokens(frozenset(), frozenset(), frozenset(), frozenset(), None, None, 0)
+    tokens.read("<img>" * 5000 + "</img>" * 4999)
+    assert tokens.ended_void == {"img": 1}
+
+
+def test_rows_of_named_classes_only_and_parents_of_named_tags():
+    html = '<tr><td class="x">1</td><td>2</td><td class="y x"><a>3</a></td></tr>'
+    rows = parse_page(html, tags=frozenset(["td", "a"]), only={"td": frozenset(["x"])}, up_tags=frozenset(["a"]))
+    assert [(r[6], r[5], r[9], r[10]) for r in rows] == [
+        ("td", 0, "1", []), ("td", 2, "3", []), ("a", 0, "3", [("td", ["y", "x"], ""), ("tr", [], "")])]
+
+
 def test_selectors_match_brute_force(spark, pages):
     """Window forms of ancestor and first-descendant tests against plain walks of the tree."""
     import random
