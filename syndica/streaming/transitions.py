@@ -95,27 +95,27 @@ class _Feed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint", "ok boolean, fail boolean")
+        self.waiting = handle.getListState("waiting", "at bigint, ok boolean")
         self.now = handle.getValueState("now", "last_ok bigint, last_fail bigint, state string, until bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        earliest = None
-        for row in rows:
-            if row.ok is None:
-                continue
-            at = row.at_us
-            before = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else (False, False)
-            self.waiting.updateValue((at,), (before[0] or row.ok, before[1] or not row.ok))
-            earliest = at if earliest is None else min(earliest, at)
-        if earliest is not None:
-            self.handle.registerTimer(-(-earliest // 1000))
+        # one call to the store for all rows: a call costs more than the work on a row
+        arrived = sorted({(row.at_us, row.ok) for row in rows if row.ok is not None})
+        if arrived:
+            self.waiting.appendList(arrived)
+            self.handle.registerTimer(-(-arrived[0][0] // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
         last_ok, last_fail, state, until = self.now.get() if self.now.exists() else (None, None, "due", 0)
-        waiting = sorted((k[0], v) for k, v in self.waiting.iterator())
-        ready = [(at, v) for at, v in waiting if at <= limit]
+        waiting = sorted({(row[0], row[1]) for row in self.waiting.get()})
+        at_once: dict[int, tuple[bool, bool]] = {}
+        for at, was_ok in waiting:
+            if at <= limit:
+                ok, fail = at_once.get(at, (False, False))
+                at_once[at] = ok or was_ok, fail or not was_ok
+        ready, later_rows = at_once.items(), [row for row in waiting if row[0] > limit]
         told: list[Row] = []
 
         def tell(at):
@@ -140,10 +140,13 @@ class _Feed(StatefulProcessor):
             last_fail = at if fail else last_fail
             tell(at)
             known = at
-            self.waiting.removeKey((at,))
+        if later_rows:
+            self.waiting.put(later_rows)
+        else:
+            self.waiting.clear()
         following = expire(known, limit + 1)
         self.now.update((last_ok, last_fail, state, limit))
-        later = [m for m in (following, waiting[len(ready)][0] if len(waiting) > len(ready) else None) if m is not None]
+        later = [m for m in (following, later_rows[0][0] if later_rows else None) if m is not None]
         if later:
             self.handle.registerTimer(-(-min(later) // 1000))
         return iter(told)

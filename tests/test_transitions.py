@@ -55,3 +55,74 @@ def test_changes_are_folded(spark, tmp_path):
     got = {r.feed_key: (r.last_ok.second, r.last_fail.second) for r in state.read_feed_state(spark, path, now).collect()}
     assert got == {k: (max(s for f, s, ok in rows if f == k and ok), max(s for f, s, ok in rows if f == k and not ok))
                    for k in {r[0] for r in rows}}
+
+
+class _Store:
+    """A list state that counts the calls made to it."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def appendList(self, rows):
+        self.calls += 1
+        self.rows += rows
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = list(rows)
+
+    def clear(self):
+        self.calls += 1
+        self.rows = []
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+
+class _Handle:
+    def __init__(self):
+        self.store, self.timers, self.value = _Store(), [], None
+
+    def getListState(self, *_):
+        return self.store
+
+    def getValueState(self, *_):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_waiting_results_take_one_call_to_the_store():
+    """However many results of a feed arrive or become due, the store is asked a fixed number of times."""
+    from pyspark.sql import Row
+
+    rng = random.Random(3)
+    for n in (1, 400):
+        handle = _Handle()
+        feed = transitions._Feed(7_000_000, 5_000_000)
+        feed.init(handle)
+        results = [(1_000_000 * rng.randrange(900), rng.random() < 0.6) for _ in range(n)]
+        rows = [Row(at_us=at, ok=ok) for at, ok in results] + [Row(at_us=0, ok=None)]
+        assert list(feed.handleInputRows(("f",), iter(rows), None)) == [] and handle.store.calls == 1
+        assert handle.timers == [min(at for at, _ in results) // 1000]
+        told = []
+        for handle.watermark in (400_000, 2_000_000):
+            handle.store.calls = 0
+            told += feed.handleExpiredTimer(("f",), handle, None)
+            assert handle.store.calls == 2
+        assert [(int(r.at.timestamp() * 1_000_000), r.state) for r in told] == _plain(results, 7_000_000, 5_000_000)
+        assert handle.store.rows == []
