@@ -68,3 +68,17 @@ def test_half_read_sources_keep_their_last_documents(spark, pages, tmp_path):
     written = {r.feed_key: r for r in spark.read.parquet(f"{path}/feeds").filter("part_no = 0").collect()}
     assert written["g1"].n_items == 4 and "01 Jan" in written["g1"].content
     assert written["g2"].n_items == 3 and "01 Feb" in written["g2"].content
+
+
+def test_sources_of_the_build_are_written_once(spark, tmp_path):
+    """Every step of a build reads the sources; none renders the pages again for them."""
+    from workload import queries
+
+    spark.range(120).selectExpr(
+        "id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "1.0D AS o_totalprice",
+        "timestamp'2024-01-01' AS o_orderdate", "'5-LOW' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(90).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "1 AS p_size").write.parquet(
+        f"{tmp_path}/part.parquet")
+    _, sources, _ = queries._build_input(spark, str(tmp_path))
+    assert {r.key for r in sources.collect()} == {"atom", "forum-b", "gallery-0", "gallery-1", "silent"}
+    assert sources.inputFiles() and not any(str(tmp_path / t) in f for f in sources.inputFiles() for t in ("orders", "part"))
