@@ -74,6 +74,25 @@ def test_what_nothing_names_is_dropped(spark, tmp_path):
         k for k in range(1_000) if k % 100 >= 90 or k >= 600]
 
 
+def test_small_buckets_share_folders(spark, tmp_path):
+    """The number of folders does not follow that of the buckets."""
+    path = tmp_path / "keys"
+    seen.record(spark, str(path), _rows(spark, range(3_000)), 0)
+    seen.compact(spark, str(path), 1, keys_per_bucket=8)
+    assert seen.read_manifest(spark, str(path)).buckets == 512
+    for kind in ("base", "bloom"):
+        assert len(list(path.glob(f"{kind}/gen=0/bucket=*"))) == seen.FOLDERS
+    assert _guids(seen.unseen(spark, str(path), _rows(spark, range(2_900, 3_100)), 1)) == list(range(3_000, 3_100))
+
+
+def test_a_batch_recorded_before_buckets_were_split(spark, tmp_path):
+    path = str(tmp_path / "keys")
+    seen.record(spark, path, _rows(spark, range(500)), 0)
+    seen.record(spark, path, _rows(spark, range(5_000, 5_050)), 1)
+    seen.compact(spark, path, 1, keys_per_bucket=8)
+    assert _guids(seen.unseen(spark, path, _rows(spark, range(5_000, 5_060)), 2)) == list(range(5_050, 5_060))
+
+
 @pytest.mark.parametrize("every", [2, 16])
 def test_ingest_over_many_batches(spark, tmp_path, pages, every):
     from syndica.plans.links import extract_links
