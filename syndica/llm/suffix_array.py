@@ -1,8 +1,8 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes.
 
 Suffixes are of type S if smaller than the one after them, else of type L; a leftmost S suffix is
-one after an L. The substrings between leftmost ones are sorted by inducing and named; if names
-repeat, the text of names is sorted the same way, one level down. From the sorted leftmost suffixes
+one after an L. The substrings between leftmost ones are sorted, by inducing in long texts over few symbols
+and symbol by symbol in others, and named; if names repeat, the text of names is sorted the same way, one level down. From the sorted leftmost suffixes
 all L suffixes follow in one pass upwards and all S suffixes in one downwards.
 
 A pass goes symbol by symbol over whole arrays where the text is much longer than its alphabet, as
@@ -32,11 +32,14 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     is_s = types_of(text)
     leftmost = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     induce = _by_symbol if len(text) > 256 * symbols else _by_suffix
-    is_leftmost = np.zeros(len(text), bool)
-    is_leftmost[leftmost] = True
-    order = induce(text, is_s, leftmost, symbols)
-    order = order[is_leftmost[order]]
-    names = _names(text, leftmost, order)
+    if induce is _by_symbol:
+        is_leftmost = np.zeros(len(text), bool)
+        is_leftmost[leftmost] = True
+        order = induce(text, is_s, leftmost, symbols)
+        order = order[is_leftmost[order]]
+        names = _names(text, leftmost, order)
+    else:
+        order, names = _refined(text, is_s, leftmost, symbols)
     if names[-1] < len(names) - 1:
         reduced = np.empty(len(text), np.int64)
         reduced[order] = names
@@ -59,6 +62,32 @@ def _names(text: np.ndarray, leftmost: np.ndarray, order: np.ndarray) -> np.ndar
     return np.concatenate(([0], np.cumsum(new)))
 
 
+def _refined(text: np.ndarray, is_s: np.ndarray, leftmost: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leftmost suffixes in the order of the substrings up to the next one, and their numbers.
+
+    Groups of equal beginnings are divided by one more symbol and its type at a time. A substring that ends is
+    equal to all others of its group, as its last symbol would be a leftmost suffix in them as well.
+    """
+    key = 2 * text.astype(np.int64) + is_s
+    length = np.append(np.diff(leftmost), 0) + 1
+    order = np.argsort(key[leftmost], kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(key[leftmost[order]]) != 0
+    at, open_ = 1, np.arange(len(order))
+    while True:
+        ends = np.append(new[1:], True)
+        open_ = open_[~(new[open_] & ends[open_]) & (length[order[open_]] > at)]
+        if not len(open_):
+            return leftmost[order], np.cumsum(new) - 1
+        group = np.maximum.accumulate(np.where(new[open_], open_, 0))
+        own = order[open_]
+        divided = group * (2 * symbols) + key[leftmost[own] + at]
+        sorted_ = np.argsort(divided, kind="stable")
+        order[open_] = own[sorted_]
+        new[open_[1:]] |= np.diff(divided[sorted_]) != 0
+        at += 1
+
+
 def _by_symbol(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndarray:
     """Both passes, a symbol at a time: what starts with it is complete when its turn comes, but for
     suffixes that it induces itself, which come in rounds."""
@@ -109,25 +138,30 @@ def _by_suffix(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: i
     """Both passes, a suffix at a time, over one array with a stretch for each symbol."""
     counts = np.bincount(text, minlength=symbols)
     ends = np.cumsum(counts)
-    symbol, s = text.tolist(), is_s.tolist()
-    places, tails = [-1] * len(symbol), ends.tolist()
-    for i in seeds[::-1].tolist():
-        c = symbol[i]
-        tails[c] -= 1
-        places[tails[c]] = i
+    # by place: the symbol before it if that is of type L or S, else -1, as after the last place for ones not filled yet
+    before = np.concatenate(([-1], text[:-1], [-1]))
+    wanted = np.concatenate(([False], is_s[:-1], [False]))
+    large = np.where(wanted, -1, before).tolist()
+    small = np.where(wanted, before, -1).tolist()
+    filled = np.full(len(text), -1, np.int64)
+    at = text[seeds]
+    parts = np.argsort(at, kind="stable")
+    own = np.bincount(at, minlength=symbols)
+    filled[np.arange(len(seeds)) + np.repeat(ends - np.cumsum(own), own)] = seeds[parts]
+    places = filled.tolist()
     heads = (ends - counts).tolist()
     for i in places:  # grows ahead of the loop
-        if i > 0 and not s[i - 1]:
-            c = symbol[i - 1]
-            places[heads[c]] = i - 1
-            heads[c] += 1
+        c = large[i]
+        if c >= 0:
+            head = heads[c]
+            places[head] = i - 1
+            heads[c] = head + 1
     tails = ends.tolist()
-    for k in range(len(places) - 1, -1, -1):
-        i = places[k]
-        if i > 0 and s[i - 1]:
-            c = symbol[i - 1]
-            tails[c] -= 1
-            places[tails[c]] = i - 1
+    for i in reversed(places):  # likewise
+        c = small[i]
+        if c >= 0:
+            tails[c] = tail = tails[c] - 1
+            places[tail] = i - 1
     return np.array(places, np.int64)
 
 

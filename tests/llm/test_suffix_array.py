@@ -45,3 +45,17 @@ def test_bytes_of_a_long_text():
     raw = text.astype(">u2").tobytes()
     tails = [raw[2 * i: 2 * i + 400] for i in order.tolist()]
     assert tails == sorted(tails) and sorted(order.tolist()) == list(range(len(text)))
+
+
+def test_substrings_refined_symbol_by_symbol():
+    """Order and names of the substrings between leftmost suffixes, types counting after symbols."""
+    rng = random.Random(8)
+    for _ in range(200):
+        text = np.array([rng.randint(1, 3) for _ in range(rng.randint(2, 80))] * rng.choice((1, 3)) + [0])
+        is_s = sa.types_of(text)
+        leftmost = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+        order, names = sa._refined(text, is_s, leftmost, 4)
+        to = dict(zip(leftmost.tolist(), [*leftmost[1:].tolist(), len(text) - 1]))
+        keys = [[(text[k], is_s[k]) for k in range(i, to[i] + 1)] for i in order.tolist()]
+        assert sorted(order.tolist()) == leftmost.tolist() and keys == sorted(keys)
+        assert [b - a for a, b in zip(names, names[1:])] == [a != b for a, b in zip(keys, keys[1:])]
