@@ -247,6 +247,38 @@ def test_removal_keeps_the_first_and_all_else(spark, docs, corpus):
             assert texts[i] == text
 
 
+def test_paragraphs_of_several_texts():
+    """Texts taken apart together have the paragraphs they have alone."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)] + ["end.", "\n", "\u3000x", "\U0001f600"]
+    texts = ["", " \n ", "too short"] + [" ".join(rng.choices(words, k=rng.randrange(400))) for _ in range(40)]
+    found = passages._paragraphs_of(texts, 3, 6)
+    got = list(zip(*[c.tolist() for c in found[:8]]))
+    minima = list(zip(*[m.tolist() for m in found[8]]))
+    alone, alone_minima = [], []
+    for i, text in enumerate(texts):
+        one = passages.paragraphs(text, 3, 6)
+        if one is not None:
+            alone += [(i, n, *row) for n, row in enumerate(zip(*[c.tolist() for c in one[:6]]))]
+            alone_minima += list(zip(*[m.tolist() for m in one[6]]))
+    assert got == alone and minima == alone_minima and passages._paragraphs_of(["", "a b"], 3, 6) is None
+    groups = list(passages._groups(["x" * passages.GROUP, "a", "b", "y" * passages.GROUP, ""]))
+    assert groups == [(0, 1), (1, 3), (3, 4), (4, 5)]
+
+
+def test_keys_and_shingles_of_equal_paragraphs_once(spark, docs):
+    """A paragraph in many texts of a task has its keys and shingles in one row, and links as before."""
+    same = "one two three four five six seven eight nine ten"
+    rows = passages._units(docs(*[(i, same) for i in range(50)]).coalesce(1).selectExpr(
+        "doc_id", "text", "xxhash64(text) AS text_hash"), 3, 6).collect()
+    per_unit = {}
+    for r in rows:
+        per_unit.setdefault(r.unit, []).append(r)
+    for own in per_unit.values():
+        assert len(own) == 50
+        assert [len(r["keys"]) for r in own] == [3] + [0] * 49 and sum(r.shingles is not None for r in own) == 1
+
+
 def test_verified_similarity_of_long_paragraphs(spark, docs):
     """Paragraphs of which a word differs link exactly if their shingles' Jaccard reaches 0.8."""
     rng = random.Random(12)
