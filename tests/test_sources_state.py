@@ -8,6 +8,7 @@ from syndica.plans import probe
 from syndica.schemas import RESPONSES
 from syndica.sources import catalog, pages as page_source
 from syndica.streaming import ingest, state
+from workload import queries
 
 CATALOG = """{"sources": [
  {"key": " a ", "title": "A", "url": "https://a.example/rss", "parser": "rss"},
@@ -190,3 +191,17 @@ def test_stream_dedup_thins_copies_first(spark):
     assert thinned.filter("guid = 'hot'").count() == 3
     assert thinned.select("guid").distinct().count() == rows.select("guid").distinct().count()
     assert thinned.filter("guid = 'hot'").agg(F.min("fetched_at")).first() == rows.agg(F.min("fetched_at")).first()
+
+
+def test_raw_pages_are_written_by_many_tasks(spark, tmp_path):
+    """A small table in one file is dealt to all tasks; rows of one page number stay in one raw file."""
+    html = {i: f"<html><body><p>page number {i}" for i in range(200)}
+    rows = [*html.items(), (7, html[7])]
+    spark.createDataFrame(rows, "page_id bigint, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    found = queries.QUERIES["raw_pages"](spark, str(tmp_path))
+    files = found.inputFiles()
+    assert len(files) == 200 and len({f.rpartition("/part-")[2][:5] for f in files}) == 4
+    assert len({f.split("/page_id=")[0] for f in files}) == 4  # shelves of 64
+    got = {r.page_id: (r["head"], r.n_chars) for r in found.collect()}
+    whole = html | {7: html[7] + "\n" + html[7]}
+    assert got == {i: (text[:20], len(text)) for i, text in whole.items()}
