@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from syndica.llm import caps, passages, simhash, topk
-from syndica.llm.common import connected_components, smallest_reached
+from syndica.llm.common import connected_components, sliced_udf, smallest_reached
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 
@@ -400,3 +400,24 @@ def test_bands_reach_the_recall():
     n = passages.tune_bands(0.8, 0.99)
     assert 1 - 0.2 ** n >= 0.99 > 1 - 0.2 ** (n - 1)
     assert 1 - (1 - 0.8 ** 3) ** passages.tune_bands(0.8, 0.99, rows=3) >= 0.99
+
+
+def test_results_of_a_batch_are_not_held_together(spark, docs):
+    """A function over texts gives its results away slice by slice, and texts without a passage stay where they are."""
+    def held(texts: list) -> list:
+        import pyarrow as pa
+
+        return [f"{pa.total_allocated_bytes():012d}" + "x" * 20_000 for _ in texts]
+
+    rows = spark.range(0, 2000, 1, 1).select(sliced_udf(held, "string", 100)(F.lit("t")).alias("t"))
+    sizes = [int(r.t) for r in rows.select(F.substring("t", 1, 12).alias("t")).collect()]
+    assert len(sizes) == 2000 and max(sizes) - sizes[0] < 6 * 100 * 20_000  # all results have 40 MB
+
+    def lengths(texts: list, more: list) -> list:
+        return [None if t is None else len(t) + n for t, n in zip(texts, more)]
+
+    table = docs("a", None, "ccc", "", "eeeee")
+    got = table.select("doc_id", sliced_udf(lengths, "bigint", 2)(F.col("text"), F.col("doc_id").cast("int")).alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {0: 1, 1: None, 2: 5, 3: 3, 4: 9}
+    assert table.where("false").select(sliced_udf(held, "string")(F.col("text")).alias("t")).collect() == []
+    assert table.where(sliced_udf(held, "string")(F.col("text")) != "").count() == 5
