@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from syndica.llm import caps, passages, simhash, topk
 from syndica.llm.common import connected_components, sliced_udf, smallest_reached
+from syndica.session import shuffles_removed
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 
@@ -130,6 +132,59 @@ def test_links_of_tiny_and_huge_components(spark):
     assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
 
 
+def test_lists_are_moved_in_slices(spark, vectors, monkeypatch):
+    """The same rows as in one piece, but no slice of the lists is over its size."""
+    whole = sorted(map(tuple, caps.near_vectors(_vectors(spark, vectors), max_list=64).collect()), key=str)
+    dealt, moved = caps._dealt, []
+
+    def spy(entries, chunked, part, of):
+        rows = dealt(entries, chunked, part, of)
+        moved.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(caps, "_dealt", spy)
+    got = caps.near_vectors(_vectors(spark, vectors), max_list=64, slice_rows=3000)
+    assert sorted(map(tuple, got.collect()), key=str) == whole
+    assert len(moved) > 3 and max(moved) <= 3000 + 500  # lists of one member are not counted
+
+
+def test_slices_of_a_hot_list(spark):
+    """A list over the size of a slice is taken in parts by its chunks, and every two members meet in one of them."""
+    counts = spark.createDataFrame([(5, 5, 3, 1), (6, 6, 40, 10), (9, 9, 2, 1)], "filter long, first long, members long, chunks int")
+    slices = caps._slices(counts, 100)
+    assert slices == [(0, 6, 0, 1), *[(6, 9, part, 4) for part in range(4)], (9, 9 + (1 << 40), 0, 1)]
+    entries = spark.range(40).selectExpr("6L AS filter", "id AS rep", "1L AS size", "binary('k') AS key")
+    chunked = spark.createDataFrame([(6, 10)], "_filter long, _chunks int")
+    met, moved = set(), []
+    for _, _, part, parts in slices[1:5]:
+        rows = caps._dealt(entries, chunked, part, parts).collect()
+        moved.append(len(rows))
+        met |= {(a.rep, b.rep) for a in rows for b in rows if (a.i, a.j) == (b.i, b.j) and a.rep < b.rep}
+    assert len(met) == 40 * 39 // 2 and sum(moved) == 400
+
+
+def test_decoding_a_range_of_filters():
+    code = caps.CapFilters(12, 300_000)
+    assert len(code.codes) == 3
+    x = np.random.default_rng(5).standard_normal((40, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    every = list(zip(*code.decode(x)))
+    for low, high in ((0, 1), (0, 7777), (7777, 60_001), (60_001, None), (99, 99)):
+        want = [(r, f) for r, f in every if low <= f and (high is None or f < high)]
+        assert list(zip(*code.decode(x, low, high))) == want
+
+
+def test_shuffle_files_of_a_write_are_removed(spark, tmp_path):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    with shuffles_removed(spark):
+        spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "rows"))
+    deadline = time.monotonic() + 20
+    while files() > before and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert files() <= before
+
+
 def test_recall_at_the_threshold_itself():
     code = caps.CapFilters(64, 5000)
     rng = np.random.default_rng(9)
