@@ -205,3 +205,22 @@ def test_raw_pages_are_written_by_many_tasks(spark, tmp_path):
     got = {r.page_id: (r["head"], r.n_chars) for r in found.collect()}
     whole = html | {7: html[7] + "\n" + html[7]}
     assert got == {i: (text[:20], len(text)) for i, text in whole.items()}
+
+
+def test_raw_pages_are_listed_set_by_set(spark, tmp_path, monkeypatch):
+    """The driver lists the files of one set at a time, and every page is in one set."""
+    rows = [(i * 1000, f"the whole text of page {i}") for i in range(200)]
+    spark.createDataFrame(rows, "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    read, listed = page_source.read_files, []
+
+    def spy(*args):
+        found = read(*args)
+        listed.append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(page_source, "read_files", spy)
+    monkeypatch.setattr(page_source, "FILES_AT_ONCE", 64)
+    found = queries.QUERIES["raw_pages"](spark, str(tmp_path))
+    assert len(listed) == 4 and sum(listed) == 200 and max(listed) < 100
+    assert sorted((r["head"], r.n_chars) for r in found.collect()) == sorted((text[:20], len(text)) for _, text in rows)
+    assert {r.page_id for r in found.collect()} == {i for i, _ in rows}
